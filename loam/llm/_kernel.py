@@ -28,6 +28,10 @@ for _c in b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz_":
 _SPACE = np.zeros(256, bool)
 for _c in b" \t\n\r\x0b\x0c":
     _SPACE[_c] = True
+#: 0 space, 1 word, 2 anything else: tokens of words() by class are runs of one kind
+CLASSES = np.where(_WORD, 1, 2).astype(np.uint8)
+CLASSES[_SPACE] = 0
+_WORDS = _WORD.astype(np.uint8)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -79,7 +83,7 @@ class Words:
         return mix(out), ok
 
 
-def _piece(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _piece(buf: np.ndarray, offs: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(buf)
     if not n:
         return np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -89,10 +93,12 @@ def _piece(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     if len(c3):
         nxt = buf[c3]
         low[c3[(nxt >= 0x80) & (nxt <= 0x9E) & (nxt != 0x97)]] += 0x20
-    word = _WORD[buf]
+    kind = kinds[buf]
+    word = kind > 0
     first, last = word.copy(), word.copy()
-    first[1:] &= ~word[:-1]
-    last[:-1] &= ~word[1:]
+    turn = kind[1:] != kind[:-1]
+    first[1:] &= turn
+    last[:-1] &= turn
     full = offs[1:] > offs[:-1]
     at = offs[:-1][full]
     first[at] = word[at]
@@ -113,14 +119,16 @@ def _piece(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return mix(h), st, en
 
 
-def words(buf: np.ndarray, offs: np.ndarray) -> Words:
-    """Words of the texts buf[offs[i]:offs[i+1]]; long inputs go in pieces cut between words."""
+def words(buf: np.ndarray, offs: np.ndarray, kinds: np.ndarray = _WORDS) -> Words:
+    """Words of the texts buf[offs[i]:offs[i+1]]; long inputs go in pieces cut between words.
+
+    With kinds=CLASSES, runs of other signs than spaces are tokens too."""
     parts, lo, n = [], 0, len(buf)
     while True:
         hi = min(n, lo + 4 * _CHUNK)
-        while hi < n and _WORD[buf[hi]]:
+        while hi < n and kinds[buf[hi]] and kinds[buf[hi]] == kinds[buf[hi - 1]]:
             hi += 1
-        parts.append((*_piece(buf[lo:hi], np.clip(offs, lo, hi) - lo), lo))
+        parts.append((*_piece(buf[lo:hi], np.clip(offs, lo, hi) - lo, kinds), lo))
         if hi >= n:
             break
         lo = hi
