@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import linededup
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -17,8 +19,24 @@ def op1_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .linededup import dedup_lines
+
+    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), dropped="dropped")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_resampling": op1_quality_resampling,
+    "op3_minhash_near_duplicates": op3_minhash_near_duplicates,
+    "op7_line_dedup": op7_line_dedup,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op7_line_dedup": linededup.sql(),
+}
