@@ -79,7 +79,7 @@ def sql(max_docs: int = 10) -> str:
 with lines as (select distinct md5(text) as doc, lower(trim(l)) as line
                from (select text, unnest(string_split(text, chr(10))) as l from documents) where lower(trim(l)) <> ''),
 hot as (select line from lines group by line having count(*) > {max_docs}),
-parts as (select doc_id, text, generate_subscripts(string_split(text, chr(10)), 1) as at, unnest(string_split(text, chr(10))) as l from documents),
-marked as (select doc_id, at, l, lower(trim(l)) in (select line from hot) as gone from parts)
-select doc_id, coalesce(string_agg(l, chr(10) order by at) filter (where not gone), '') as text, count(*) filter (where gone) as dropped
+parts as (select doc_id, text, generate_subscripts(string_split(text, chr(10)), 1) as pos, unnest(string_split(text, chr(10))) as l from documents),
+marked as (select doc_id, pos, l, lower(trim(l)) in (select line from hot) as gone from parts)
+select doc_id, coalesce(string_agg(l, chr(10) order by pos) filter (where not gone), '') as text, count(*) filter (where gone) as dropped
 from marked group by doc_id"""
