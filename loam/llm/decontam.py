@@ -9,14 +9,15 @@ words: a paraphrase that drops or changes words keeps a long common
 subsequence, a passage on the same matter doesn't.
 
 * Pass 1 counts in how many blocks each hashed word occurs.
-* Pass 2 sums A'(A Omega) for a random Omega, over all passages, by tasks and
-  then in two levels by blocks of rows; from it follow singular vectors and
-  values (single-pass Nystroem form; Halko, Martinsson and Tropp 2011).
-* Pass 3 projects every passage, compares it with every item by matrix
+* Pass 2 sums S A for a random sparse S over all passages, by tasks and then by
+  pieces of the matrix; its right singular vectors Q span the range sketch.
+* Pass 3 sums the Gram matrix of A Q; its eigenvectors turn Q into singular
+  vectors of A, with their values (Halko, Martinsson and Tropp 2011).
+* Pass 4 projects every passage, compares it with every item by matrix
   products, and verifies in place, where the document's words are at hand.
 
-No pass joins or shuffles texts.  To the driver come 2**14 counts and a matrix
-of 2**14 x 160, whatever the input.  Items are held by every task, ``per_pass``
+No pass joins or shuffles texts.  To the driver come 2**14 counts and matrices
+of 160 x 2**14 and 160 x 160, whatever the input.  Items are held by every task, ``per_pass``
 at most at a time; more items take more passes.
 
 A document leaks an item if the common subsequence covers ``coverage`` of the
@@ -36,6 +37,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,15 +45,15 @@ from . import _kernel as K
 from ._spark import col, fresh
 
 D, SKETCH, RANK = 1 << 14, 160, 128
-_ROWS = 256
+_PART = 160 * 32  # numbers of a row of the matrices when they are summed
 
 
 @dataclass(frozen=True)
 class Rules:
     window: int = 32
-    cosine: float = 0.35
+    cosine: float = 0.3
     coverage: float = 0.7
-    partial: float = 0.5
+    partial: float = 0.6
     answer: float = 0.75
 
 
@@ -66,9 +68,15 @@ def _blocks(offsets: np.ndarray, half: int) -> tuple[np.ndarray, np.ndarray]:
     return offsets[text] + j * half, last
 
 
-def _sums(rows: np.ndarray, starts: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Of each block, and with it the next of the same text: a passage starts with every block but the last of several."""
-    s = np.add.reduceat(rows, starts, axis=0)
+def _sums(table: np.ndarray, words: np.ndarray, starts: np.ndarray, last: np.ndarray, half: int) -> np.ndarray:
+    """Sums of the words' rows over each block, and with it the next of the same text: a passage starts with every block but the last of several.
+
+    The table ends with a row of zeros, that of no word."""
+    ends = np.append(starts[1:], len(words))
+    s = table[words[starts]]
+    for j in range(1, half):
+        at = starts + j
+        s += table[np.where(at < ends, words[np.minimum(at, len(words) - 1)], len(table) - 1)]
     out = s.copy()
     more = np.flatnonzero(~last)
     out[more] += s[more + 1]
@@ -81,10 +89,6 @@ def _passages(last: np.ndarray) -> np.ndarray:
     return ~last | only
 
 
-def _omega() -> np.ndarray:
-    return np.random.default_rng(7).standard_normal((D, SKETCH), np.float32)
-
-
 def _frequencies(half: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(D, np.int64), 0
@@ -102,36 +106,54 @@ def _frequencies(half: int) -> Callable:
     return run
 
 
-def _range(idf: np.ndarray, half: int) -> Callable:
+def _sketch(idf: np.ndarray, half: int) -> Callable:
+    """Rows of S A: every passage is added to one of SKETCH rows, by a random sign (Clarkson and Woodruff 2013)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        om = _omega() * idf[:, None]
-        z = np.zeros((D, SKETCH), np.float64)
+        rng = np.random.default_rng(TaskContext.get().partitionId())
+        z = np.zeros(SKETCH * D, np.float32)
         for b in batches:
-            for _, _, data, offs in K.chunks(b.column(0), 1 << 17):
+            for _, _, data, offs in K.chunks(b.column(0)):
                 w = K.words(data, offs)
                 starts, last = _blocks(w.offsets, half)
                 if not len(starts):
                     continue
-                f = (w.hashes & K.U64(D - 1)).astype(np.int16)
-                y = _sums(om[f], starts, last) * _passages(last)[:, None]
-                t = y.copy()  # each block is in the passage that it starts and in that of the block before
-                before = np.flatnonzero(~last)
-                t[before + 1] += y[before]
-                block = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(f))))
-                order = np.argsort(f, kind="stable")
-                f = f[order]
-                first = np.flatnonzero(np.concatenate([[True], f[1:] != f[:-1]]))
-                z[f[first]] += np.add.reduceat(t[block[order]], first, axis=0)
-        z *= idf[:, None]
+                f = (w.hashes & K.U64(D - 1)).astype(np.int64)
+                size = np.diff(np.append(starts, len(f)))
+                row = rng.integers(0, SKETCH, len(starts)) * D
+                sign = rng.choice(np.array([-1, 1], np.float32), len(starts)) * _passages(last)
+                value = idf[f]
+                np.add.at(z, f + np.repeat(row, size), value * np.repeat(sign, size))
+                before = np.flatnonzero(~last)  # a block is also in the passage of the one before
+                row2, sign2 = np.zeros_like(row), np.zeros_like(sign)
+                row2[before + 1], sign2[before + 1] = row[before], sign[before]
+                np.add.at(z, f + np.repeat(row2, size), value * np.repeat(sign2, size))
         yield _matrix(z)
 
     return run
 
 
+def _gram(table: np.ndarray, half: int) -> Callable:
+    """(A Q)'(A Q) for the D x SKETCH table idf * Q."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g = np.zeros((SKETCH, SKETCH), np.float64)
+        for b in batches:
+            for _, _, data, offs in K.chunks(b.column(0), 1 << 17):
+                w = K.words(data, offs)
+                starts, last = _blocks(w.offsets, half)
+                if len(starts):
+                    y = _sums(table, (w.hashes & K.U64(D - 1)).astype(np.int16), starts, last, half)[_passages(last)]
+                    g += y.T @ y
+        yield _matrix(g.ravel())
+
+    return run
+
+
 def _matrix(z: np.ndarray, at: np.ndarray | None = None) -> pa.RecordBatch:
-    z = z.reshape(-1, _ROWS * SKETCH)
+    z = z.reshape(-1, _PART) if z.ndim == 1 else z
     at = np.arange(len(z)) if at is None else at
-    return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([x.astype(np.float32).tobytes() for x in z], pa.binary())], ["part", "rows"])
+    return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([x.astype(np.float32).tobytes() for x in z], pa.binary())], ["part", "numbers"])
 
 
 def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,29 +169,29 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _matrix(np.stack(list(total.values())), np.array(list(total)))
 
 
-def randomised_svd(texts: DataFrame, idf: np.ndarray, half: int) -> tuple[np.ndarray, np.ndarray]:
-    """Right singular vectors (D x RANK) and singular values of the passage matrix."""
-    parts = texts.mapInArrow(_range(idf, half), "part int, rows binary")
-    n = max(1, min(64, texts.rdd.getNumPartitions() // 16))
-    if n > 1:
-        parts = parts.repartition(n * 8, "part", F.floor(F.spark_partition_id() % n)).mapInArrow(_add, "part int, rows binary")
-    parts = parts.repartition(8, "part").mapInArrow(_add, "part int, rows binary").collect()
-    z = np.zeros((D // _ROWS, _ROWS * SKETCH))
-    for p, x in parts:
+def _total(parts: DataFrame, tasks: int, size: int) -> np.ndarray:
+    """The sum of the tasks' vectors, in two levels where there are many tasks."""
+    schema = "part int, numbers binary"
+    if tasks > 256:
+        parts = parts.repartition(min(1024, tasks // 32), "part", F.spark_partition_id() % 128).mapInArrow(_add, schema)
+    z = np.zeros((size // _PART, _PART))
+    for p, x in parts.repartition(8, "part").mapInArrow(_add, schema).collect():
         z[p] += np.frombuffer(x, np.float32)
-    z = z.reshape(D, SKETCH)
-    size = np.linalg.norm(z)
-    if not size:
+    return z.ravel()
+
+
+def randomised_svd(texts: DataFrame, idf: np.ndarray, half: int) -> tuple[np.ndarray, np.ndarray]:
+    """Right singular vectors (D x RANK) and singular values of the passage matrix, from its range sketch Q and the Gram matrix of A Q."""
+    tasks, schema = texts.rdd.getNumPartitions(), "part int, numbers binary"
+    z = _total(texts.mapInArrow(_sketch(idf, half), schema), tasks, SKETCH * D).reshape(SKETCH, D)
+    _, s, q = np.linalg.svd(z, full_matrices=False)
+    if not s[0]:
         return np.zeros((D, RANK)), np.zeros(RANK)
-    om = _omega().astype(np.float64)
-    shift = 1e-6 * size / np.sqrt(SKETCH * D)
-    z = z + shift * om
-    core = om.T @ z
-    s, u = np.linalg.eigh((core + core.T) / 2)
-    keep = s > s[-1] * 1e-10
-    left, sing, _ = np.linalg.svd(z @ (u[:, keep] / np.sqrt(s[keep])), full_matrices=False)
-    left, sing = left[:, :RANK], np.sqrt(np.maximum(sing[:RANK] ** 2 - shift, 0))
-    return np.pad(left, ((0, 0), (0, RANK - left.shape[1]))), np.pad(sing, (0, RANK - len(sing)))
+    q = q.T * (s > s[0] * 1e-6)
+    table = np.vstack([idf[:, None] * q, np.zeros((1, SKETCH))]).astype(np.float32)
+    g = _total(texts.mapInArrow(_gram(table, half), schema), tasks, SKETCH * SKETCH).reshape(SKETCH, SKETCH)
+    lam, u = np.linalg.eigh((g + g.T) / 2)
+    return q @ u[:, ::-1][:, :RANK], np.sqrt(np.maximum(lam[::-1][:RANK], 0))
 
 
 class Items:
@@ -213,7 +235,7 @@ def _matches(text: pa.Array, items: Items, embed: np.ndarray, rules: Rules) -> I
         starts, last = _blocks(w.offsets, half)
         if not len(starts) or not items.ids:
             continue
-        v = _sums(embed[(w.hashes & K.U64(D - 1)).astype(np.int16)], starts, last)
+        v = _sums(embed, (w.hashes & K.U64(D - 1)).astype(np.int16), starts, last, half)
         v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
         cos = v @ items.vectors.T
         block, item = np.nonzero((cos >= rules.cosine) & _passages(last)[:, None])
@@ -249,13 +271,13 @@ def _space(docs: DataFrame, rules: Rules) -> np.ndarray:
     idf = np.log((1 + df[-1]) / (1 + df[:-1])).astype(np.float32)
     vectors, sing = randomised_svd(texts, idf, half)
     scale = np.where(sing > sing.max() * 1e-6, 1 / np.maximum(sing, 1e-30), 0) * max(sing.max(), 1e-30)
-    return (idf[:, None] * vectors * scale).astype(np.float32)
+    return np.vstack([idf[:, None] * vectors * scale, np.zeros((1, RANK))]).astype(np.float32)
 
 
 def _tiles(docs: DataFrame, benchmark: DataFrame, rules: Rules, per_pass: int) -> Iterator:
     spark: SparkSession = docs.sparkSession
     rows = [(r[0], r[1]) for r in benchmark.select("item_id", "text").where("text is not null").toLocalIterator()]
-    embed = _space(docs, rules) if rows else np.zeros((D, RANK), np.float32)
+    embed = _space(docs, rules) if rows else np.zeros((D + 1, RANK), np.float32)
     for lo in range(0, max(len(rows), 1), per_pass):
         yield spark.sparkContext.broadcast((Items(rows[lo : lo + per_pass], embed), embed))
 
