@@ -31,6 +31,12 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_related_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack_related
+
+    return pack_related(table(spark, sf_dir, "documents"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .linededup import dedup_lines
 
@@ -41,6 +47,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_resampling": op1_quality_resampling,
     "op3_minhash_near_duplicates": op3_minhash_near_duplicates,
     "op4_decontamination": op4_decontamination,
+    "op6_related_packing": op6_related_packing,
     "op7_line_dedup": op7_line_dedup,
 }
 
