@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import linededup
+from . import fingerprint, linededup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,14 +43,29 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), dropped="dropped")
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring import repeated_passages
+
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
+def op9_multiset_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprint import fingerprints
+
+    return fingerprints(table(spark, sf_dir, "documents")).drop("state")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_resampling": op1_quality_resampling,
     "op3_minhash_near_duplicates": op3_minhash_near_duplicates,
     "op4_decontamination": op4_decontamination,
     "op6_related_packing": op6_related_packing,
     "op7_line_dedup": op7_line_dedup,
+    "op8_substring_dedup": op8_substring_dedup,
+    "op9_multiset_fingerprints": op9_multiset_fingerprints,
 }
 
 SQL: dict[str, str] = {
     "op7_line_dedup": linededup.sql(),
+    "op9_multiset_fingerprints": fingerprint.sql(),
 }
