@@ -55,6 +55,12 @@ def op9_multiset_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents")).drop("state")
 
 
+def op10_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import identifiers
+
+    return identifiers(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_resampling": op1_quality_resampling,
     "op3_minhash_near_duplicates": op3_minhash_near_duplicates,
@@ -63,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_line_dedup": op7_line_dedup,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_multiset_fingerprints": op9_multiset_fingerprints,
+    "op10_bootstrapped_pii": op10_bootstrapped_pii,
 }
 
 SQL: dict[str, str] = {
