@@ -122,7 +122,7 @@ def candidates(data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[int, int, s
         name = _NAMED.match(entity)  # what stands before an equals sign names the rest
         if name:
             a, entity = a + len(name[0].encode()), entity[name.end() :]
-        before = raw[max(begin, a - 60) : a].decode(errors="replace").split()[-2:]
+        before = raw[max(begin, a - 60) : a].decode(errors="replace").rstrip("\"'").split()[-2:]
         yield o, a - begin, entity, " ".join(before)
 
 
