@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, linededup
+from . import fingerprint, linededup, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,12 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import pages_by_warc
+
+    return pages_by_warc(table(spark, sf_dir, "pages"))
+
+
 def op6_related_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_related
 
@@ -65,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_resampling": op1_quality_resampling,
     "op3_minhash_near_duplicates": op3_minhash_near_duplicates,
     "op4_decontamination": op4_decontamination,
+    "op5_warc": op5_warc,
     "op6_related_packing": op6_related_packing,
     "op7_line_dedup": op7_line_dedup,
     "op8_substring_dedup": op8_substring_dedup,
@@ -73,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op5_warc": warc.sql(),
     "op7_line_dedup": linededup.sql(),
     "op9_multiset_fingerprints": fingerprint.sql(),
 }
