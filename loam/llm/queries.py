@@ -19,6 +19,12 @@ def op1_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op3_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .neardup import near_duplicates
 
@@ -69,6 +75,7 @@ def op10_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_resampling": op1_quality_resampling,
+    "op2_license_scan": op2_license_scan,
     "op3_minhash_near_duplicates": op3_minhash_near_duplicates,
     "op4_decontamination": op4_decontamination,
     "op5_warc": op5_warc,
