@@ -1,4 +1,322 @@
-"""Queries of the retrieval engine by name, and their SQL."""
+"""Queries of the retrieval engine by name, each with the SQL that gives the same rows.
 
-QUERIES: dict = {}
-SQL: dict = {}
+Documents and vectors are different entities in the test tables; where a query
+needs both, doc_id is paired with vec_id.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from loam.functions import text as T
+from loam.functions.vectors import cosine_to
+from loam.operators import dedup as D
+from loam.operators import keyword as KW
+from loam.operators import search as S
+from loam.operators.chunking import chunk_documents
+from loam.sources import html as H
+
+TERMS = ["the", "heed", "ouhe", "the"]
+QUERY = [0.125] * 64
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _tokens(c="text"):
+    return F.filter(T.words(F.col(c)), lambda w: F.length(w) > 1)
+
+
+def _index(spark, d) -> KW.Index:
+    return KW.build(table(spark, d, "documents"), "doc_id", _tokens())
+
+
+_W = r"""list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda w: length(w) > 1)"""
+_BM25 = f"""
+with docs as (select doc_id as id, {_W} as w from documents),
+stats as (select count(*)::double as n, avg(len(w)) as avgdl from docs),
+lengths as (select id, len(w) as dl from docs),
+postings as (select term, id, count(*) as tf from (select id, unnest(w) as term from docs) group by all),
+terms as (select term, count(*) as df from postings group by term)"""
+_BAG = "bag as (select 0 as qid, * from (values ('the', 2), ('heed', 1), ('ouhe', 1)) v(term, qtf))"
+_PLUS = "q as (select qid, term, qtf, ln((n + 1) / df) as idf from bag join terms using (term), stats)"
+_GAIN = "tf * 2.5e0 / (1.5e0 * (0.25e0 + 0.75e0 * dl / avgdl) + tf)"
+_HITS = f"hits as (select qid, id, sum(qtf * idf * {_GAIN}) as score from postings join q using (term) join lengths using (id), stats group by qid, id)"
+_TOP = "select id as doc_id, round(score, 6) as score, rank from (select *, row_number() over (order by round(score, 9) desc, id) as rank from s where score > 0) where rank <= 20"
+_FULL = "base as (select qid, sum(qtf * idf) as base from q group by qid), s as (select id, coalesce(score, 0) + base as score from lengths cross join base left join hits using (id))"
+
+
+def _shown(hits: DataFrame) -> DataFrame:
+    return hits.select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), F.col("rank"))
+
+
+@query(f"{_BM25}, {_BAG}, {_PLUS}, {_HITS}, {_FULL} {_TOP}")
+def bm25_plus_topk(spark, d):
+    return _shown(KW.search(_index(spark, d), TERMS, 20))
+
+
+@query(f"{_BM25}, {_BAG}, {_PLUS}, s as (select id, sum(qtf * idf * (1 + {_GAIN})) as score from postings join q using (term) join lengths using (id), stats group by id) {_TOP}")
+def bm25_plus_match_only(spark, d):
+    return _shown(KW.search(_index(spark, d), TERMS, 20, match_only=True))
+
+
+@query(f"""{_BM25}, {_BAG}, raw as (select term, ln(n - df + 0.5e0) - ln(df + 0.5e0) as r from terms, stats),
+q as (select qid, term, qtf, case when r < 0 then 0.25e0 * (select avg(r) from raw) else r end as idf from bag join raw using (term)),
+{_HITS}, s as (select * from hits) {_TOP}""")
+def bm25_okapi_topk(spark, d):
+    return _shown(KW.search(_index(spark, d), TERMS, 20, variant="okapi"))
+
+
+@query(f"""{_BM25}, bag as (select item_id as qid, term, count(*) as qtf from (select item_id, unnest({_W}) as term from benchmark) group by all), {_PLUS}, {_HITS},
+base as (select qid, sum(qtf * idf) as base from q group by qid), s as (select qid, id, score + base as score from hits join base using (qid))
+select qid as item_id, id as doc_id, round(score, 6) as score, rank from (select *, row_number() over (partition by qid order by round(score, 9) desc, id) as rank from s) where rank <= 5""")
+def bm25_per_benchmark_item(spark, d):
+    q = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), _tokens().alias("terms"))
+    r = KW.search_all(_index(spark, d), q, 5)
+    return r.select(F.col("qid").alias("item_id"), F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
+
+
+@query(f"{_BM25} select n::bigint as n, round(avgdl, 6) as avgdl, (select count(*) from terms) as n_terms, (select count(*) from postings) as n_postings from stats")
+def corpus_stats(spark, d):
+    i = _index(spark, d)
+    return i.terms.agg(F.count("*").alias("n_terms")).crossJoin(i.postings.agg(F.count("*").alias("n_postings"))).select(F.lit(i.n).cast("long").alias("n"), F.round(F.lit(i.avgdl), 6).alias("avgdl"), "n_terms", "n_postings")
+
+
+@query(f"{_BM25} select term, df from terms order by df desc, term limit 50")
+def term_df_topk(spark, d):
+    return _index(spark, d).terms.orderBy(F.desc("df"), "term").limit(50)
+
+
+_COS = "round(coalesce(list_cosine_similarity(embedding::double[], list_resize([]::double[], 64, 0.125e0)), 0), 6)"
+_KNN = f"select vec_id, round(score, 6) as score, rank from (select vec_id, {_COS} as score, row_number() over (order by {_COS} desc, vec_id) as rank from embeddings %s) where rank <= %d"
+
+
+def _rounded(spark, d):
+    return table(spark, d, "embeddings").withColumn("score", F.round(cosine_to(F.col("embedding"), QUERY), 6))
+
+
+def _ranked(df, k, *by):
+    w = Window.partitionBy(*by).orderBy(F.desc("score"), "vec_id")
+    return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+@query(_KNN % ("", 20))
+def cosine_topk(spark, d):
+    best = _rounded(spark, d).select("vec_id", "score").orderBy(F.desc("score"), "vec_id").limit(20)
+    return _ranked(best, 20)
+
+
+@query(_KNN % ("where label = 3", 10))
+def cosine_topk_filtered(spark, d):
+    best = _rounded(spark, d).where("label = 3").select("vec_id", "score").orderBy(F.desc("score"), "vec_id").limit(10)
+    return _ranked(best, 10)
+
+
+@query(f"select label, vec_id, score, rank from (select label, vec_id, {_COS} as score, row_number() over (partition by label order by {_COS} desc, vec_id) as rank from embeddings) where rank <= 3")
+def cosine_topk_per_label(spark, d):
+    return _ranked(_rounded(spark, d).select("label", "vec_id", "score"), 3, "label")
+
+
+_LISTS = f"""
+{_BM25}, {_BAG}, {_PLUS}, {_HITS}, {_FULL},
+kw as (select id, row_number() over (order by round(score, 6) desc, id) as rank from s qualify rank <= 50),
+vec as (select vec_id as id, row_number() over (order by {_COS} desc, vec_id) as rank from embeddings qualify rank <= 50),
+fused as (select id, sum(case list when 0 then wv else wk end / (60 + rank)) as score, min(list * 1000000 + rank) as first
+          from (select 0 as list, * from vec union all select 1, * from kw), (select %s as wv, %s as wk) group by id),
+f as (select id, round(score, 9) as score, row_number() over (order by score desc, first) as rank from fused)"""
+
+
+def _lists(spark, d):
+    kw = _shown(KW.search(_index(spark, d), TERMS, 50)).select(F.col("doc_id").alias("id"), "score")
+    kw = kw.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
+    vec = _rounded(spark, d).select(F.col("vec_id").alias("id"), "score").orderBy(F.desc("score"), "id").limit(50)
+    return vec.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id"))), kw
+
+
+def _fused(df):
+    return df.select(F.col("id").alias("doc_id"), F.round("score", 9).alias("score"), "rank")
+
+
+@query(_LISTS % ("0.9e0", "0.1e0") + " select id as doc_id, score, rank from f where rank <= 20")
+def rrf_weighted(spark, d):
+    return _fused(S.rrf(_lists(spark, d), [0.9, 0.1], k=20))
+
+
+@query(_LISTS % ("0.7e0", "0.3e0") + " select id as doc_id, score, rank from f where rank <= 20")
+def hybrid_topk(spark, d):
+    return _fused(S.hybrid(*_lists(spark, d), 20))
+
+
+@query(_LISTS % ("0.7e0", "0.3e0") + " select id as doc_id, f.score, f.rank from f join documents on doc_id = id where rank <= 20 and contains(source, 'src1')")
+def hybrid_post_filtered(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "source")
+    return _fused(S.hybrid(*_lists(spark, d), 20)).join(docs, "doc_id").where(F.col("source").contains("src1")).drop("source")
+
+
+@query(f"{_BM25}, {_BAG}, {_PLUS}, {_HITS}, {_FULL}, n50 as (select id, score, row_number() over (order by round(score, 9) desc, id) as rank from s qualify rank <= 50) select id as doc_id, round(n50.score, 6) as score, row_number() over (order by rank) as rank from n50 join documents on doc_id = id where contains(source, 'src1')")
+def keyword_filtered_contains(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "source")
+    hits = _shown(KW.search(_index(spark, d), TERMS, 50)).join(docs, "doc_id").where(F.col("source").contains("src1"))
+    return hits.select("doc_id", "score", F.row_number().over(Window.orderBy("rank")).alias("rank"))
+
+
+@query()
+def mmr_rerank(spark, d):
+    best = _rounded(spark, d).orderBy(F.desc("score"), "vec_id").limit(20)
+    best = best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "vec_id")))
+    return S.mmr(best, "embedding", QUERY, balance=0.5).select("vec_id", "score", "rank")
+
+
+def _re(patterns):
+    # RE2 has no Unicode word boundary
+    return "(?:^|[^\\p{L}\\p{N}_])(?:" + "|".join(p.removeprefix("\\b").removesuffix("\\b") for p in patterns).replace("'", "''") + ")(?:[^\\p{L}\\p{N}_]|$)"
+
+
+@query(f"""with q as (select conv_id, turn, case when regexp_matches(lower(text), '{_re(T.ENTITY_PATTERNS)}') then 'entity' when regexp_matches(lower(text), '{_re(T.SEMANTIC_PATTERNS)}') then 'semantic' else 'balanced' end as type from conversations where role = 'user')
+select conv_id, turn, type, case type when 'entity' then 0.3e0 when 'semantic' then 0.8e0 else 0.5e0 end as vector_weight, case type when 'entity' then 0.7e0 when 'semantic' then 0.2e0 else 0.5e0 end as keyword_weight from q""")
+def query_classify(spark, d):
+    w = T.query_weights(F.col("text"))
+    return table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", T.query_type(F.col("text")).alias("type"), w["vector_weight"].alias("vector_weight"), w["keyword_weight"].alias("keyword_weight"))
+
+
+@query(r"""select doc_id, case when len(regexp_extract_all(substr(text, 1, 200), '[\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{20000}-\x{2A6DF}\x{F900}-\x{FAFF}\x{3040}-\x{30FF}\x{AC00}-\x{D7A3}]')) > len(regexp_extract_all(substr(text, 1, 200), '[A-Za-z\x{C0}-\x{24F}]')) then 'cjk' else 'latin' end as script from documents""")
+def script_detect(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.script(F.col("text")).alias("script"))
+
+
+@query("select doc_id, sha256(text) as hash from documents qualify row_number() over (partition by sha256(text) order by doc_id) = 1")
+def exact_dedup_keep_first(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", T.content_hash(F.col("text")).alias("hash"))
+    return D.first_occurrence(docs, "hash", "doc_id")
+
+
+@query("select conv_id, turn from conversations where sha256(text) not in (select sha256(text) from documents)")
+def seen_hash_antijoin(spark, d):
+    h = T.content_hash(F.col("text")).alias("hash")
+    return D.unseen(table(spark, d, "conversations").select("conv_id", "turn", h), table(spark, d, "documents").select(h)).select("conv_id", "turn")
+
+
+def _minhash_sql() -> str:
+    a, b = D.permutations(16)
+    sig = ", ".join(f"min((h * {x} + {y}) % {D.PRIME}) as m{i}" for i, (x, y) in enumerate(zip(a, b)))
+    return rf"""with w as (select doc_id, list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '') as w from documents),
+sh as (select distinct doc_id, unnest(case when len(w) < 3 then w else list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) end) as s from w),
+h as (select doc_id, ('0x' || substr(sha256(s), 1, 8))::bigint as h from sh), sig as (select doc_id, {sig} from h group by doc_id)"""
+
+
+@query(_minhash_sql() + " select doc_id, concat_ws(',', " + ", ".join(f"m{i}" for i in range(16)) + ") as sig from sig")
+def minhash_signature(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.array_join(D.signature(F.col("text"), 16).cast("array<string>"), ",").alias("sig"))
+
+
+def _verdict_sql() -> str:
+    b, r = D.lsh_parameters(0.5, 16)
+    parts = " union all ".join(f"select doc_id, {i} as band, concat_ws(',', {', '.join(f'm{i * r + j}' for j in range(r))}) as bh from kept" for i in range(b))
+    return _minhash_sql() + f""", kept as (select sig.* from sig join (select min(doc_id) as doc_id from documents group by text) using (doc_id)),
+bands as ({parts}), near as (select doc_id, max(hit) as near_dup from (select doc_id, min(doc_id) over (partition by band, bh) < doc_id as hit from bands) group by doc_id)
+select doc_id, min(doc_id) over (partition by text) < doc_id as exact_dup, coalesce(near_dup, false) as near_dup from documents left join near using (doc_id)"""
+
+
+@query(_verdict_sql())
+def near_dedup_verdict(spark, d):
+    return D.dedup(table(spark, d, "documents").select("doc_id", "text"), "text", "doc_id", threshold=0.5, num_perm=16).select("doc_id", "exact_dup", "near_dup")
+
+
+@query("select count(*) as chunks, count(distinct source) as sources, count(distinct text) as texts from documents")
+def collection_stats(spark, d):
+    return table(spark, d, "documents").agg(F.count("*").alias("chunks"), F.countDistinct("source").alias("sources"), F.countDistinct("text").alias("texts"))
+
+
+@query("select distinct source from documents order by source")
+def list_sources(spark, d):
+    return table(spark, d, "documents").select("source").distinct().orderBy("source")
+
+
+@query("select sha256(string_agg(doc_id::varchar, ',' order by doc_id::varchar)) as state from documents")
+def state_hash(spark, d):
+    ids = F.array_sort(F.collect_list(F.col("doc_id").cast("string")))
+    return table(spark, d, "documents").agg(F.sha2(F.array_join(ids, ","), 256).alias("state"))
+
+
+_GIVEN = "case when doc_id % 3 = 0 then doc_id end"
+
+
+@query(f"""with d as (select doc_id, {_GIVEN} as given from documents),
+free as (select n, row_number() over (order by n) as r from range(2 * (select count(*) from d)) t(n) where n not in (select given from d where given is not null)),
+want as (select doc_id, row_number() over (order by doc_id) as r from d where given is null)
+select doc_id, coalesce(given, n) as bm25_id from d left join want using (doc_id) left join free using (r)""")
+def assign_bm25_ids(spark, d):
+    from loam.collection import fill_ids
+
+    docs = table(spark, d, "documents").select("doc_id", F.expr(_GIVEN).alias("bm25_id"))
+    return fill_ids(docs, "doc_id")
+
+
+@query("select doc_id, 'Source: ' || source || chr(10) || chr(10) || text as headed from documents")
+def contextual_header(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.contextual_header(F.col("source"), F.col("text")).alias("headed"))
+
+
+@query("select string_agg('[Document ' || (doc_id + 1) || ' - ' || source || ']' || chr(10) || case when length(text) > 500 then substr(text, 1, 500) || '...' else text end, chr(10) || chr(10) order by doc_id) as shown from documents where doc_id < 5")
+def format_results(spark, d):
+    from loam.collection import format_hits
+
+    docs = table(spark, d, "documents").where("doc_id < 5").select((F.col("doc_id") + 1).alias("rank"), "source", T.truncated(F.col("text")).alias("text"))
+    return format_hits(docs).withColumnRenamed("text", "shown")
+
+
+@query()
+def chunk_documents_all(spark, d):
+    return chunk_documents(table(spark, d, "documents").select("doc_id", "text"))
+
+
+@query()
+def ingest_end_to_end(spark, d):
+    from loam.collection import plan_chunks
+
+    docs = table(spark, d, "documents").select(F.concat_ws("/", "source", "doc_id").alias("path"), F.col("text").alias("content"), F.col("doc_id").alias("ord"))
+    return plan_chunks(docs).select("chunk_id", "source", "chunk_index", "hash")
+
+
+@query()
+def html_text(spark, d):
+    return table(spark, d, "pages").select("page_id", H.text(F.col("html")).alias("text"))
+
+
+@query("select page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) as href from pages")
+def page_links(spark, d):
+    return table(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)).alias("href"))
+
+
+@query()
+def url_normalise(spark, d):
+    return table(spark, d, "pages").select("page_id", F.explode(H.links(F.col("html"), F.col("url"), keep_navigation=True)).alias("link"))
+
+
+@query()
+def crawl_frontier(spark, d):
+    pages = table(spark, d, "pages")
+    seeds = pages.where("page_id < 20").select("url")
+    return H.crawl(pages, seeds)
+
+
+@query("select event_id, json_extract_string(props, '$.' || k) as value, k as name from (select event_id, props, unnest(json_keys(props)) as k from events)")
+def json_fanout(spark, d):
+    e = table(spark, d, "events").select("event_id", F.explode(F.from_json("props", "map<string,string>")).alias("name", "value"))
+    return e.select("event_id", "value", "name")
