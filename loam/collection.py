@@ -72,11 +72,10 @@ def plan_chunks(docs: DataFrame, settings: config.Settings | None = None, stored
         made = made.join(stored.select("hash").distinct().withColumn("known", F.lit(True)), "hash", "left").withColumn("exact", F.col("exact") | F.coalesce("known", F.lit(False))).drop("known")
     made = made.where("not exact")
     if s.near_dedup_enabled:
-        sig = made.select("key", D.signature(F.col("text"), s.near_dedup_num_perm).alias("sig"))
         before = None
         if stored is not None:
-            before = stored.select(F.inline(D.bands(D.signature(F.col("text"), s.near_dedup_num_perm), s.near_dedup_threshold, s.near_dedup_num_perm)))
-        near = D.near_verdicts(sig, "key", "sig", threshold=s.near_dedup_threshold, num_perm=s.near_dedup_num_perm, before=before)
+            before = D.band_rows(stored, "chunk_id", text="text", threshold=s.near_dedup_threshold, num_perm=s.near_dedup_num_perm).drop("chunk_id")
+        near = D.near_verdicts(made, "key", "text", threshold=s.near_dedup_threshold, num_perm=s.near_dedup_num_perm, before=before)
         made = made.join(near.where("near_dup").select("key"), "key", "left_anti")
     i = F.row_number().over(Window.partitionBy("doc_hash").orderBy("chunk_index")) - 1
     return made.select(F.concat_ws("_", "doc_hash", i.cast("string")).alias("chunk_id"), F.col("path").alias("source"), "doc_hash", "hash", "chunk_index", "text", "key")

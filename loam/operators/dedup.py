@@ -8,6 +8,7 @@ exact one, whether that was kept or not.
 from __future__ import annotations
 
 import functools
+import hashlib
 
 import numpy as np
 import pyarrow as pa
@@ -42,31 +43,49 @@ def permutations(num_perm: int, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(1, 1 << 30, num_perm), rng.integers(0, 1 << 30, num_perm)
 
 
+def _hashes(text: Column) -> Column:
+    return F.transform(shingles(text), lambda s: F.conv(F.substring(F.sha2(s, 256), 1, 8), 16, 10).cast("long"))
+
+
+def _least(values: pa.Array, num_perm: int, seed: int) -> list[np.ndarray | None]:
+    a, b = permutations(num_perm, seed)
+    out: list[np.ndarray | None] = []
+    for v in values:
+        h = np.asarray(v.values) if v.is_valid else None
+        if h is None:
+            out.append(None)
+        elif not len(h):
+            out.append(np.full(num_perm, PRIME))
+        else:
+            out.append(np.minimum.reduce([((x[:, None] * a + b) % PRIME).min(0) for x in np.array_split(h, -(-len(h) // 4096))]))
+    return out
+
+
 def signature(text: Column, num_perm: int = 128, seed: int = 1) -> Column:
     """MinHash signature: of each permutation the least value over the shingles; of no shingles the prime."""
-    hashes = F.transform(shingles(text), lambda s: F.conv(F.substring(F.sha2(s, 256), 1, 8), 16, 10).cast("long"))
 
     @F.arrow_udf("array<long>")
     def least(values: pa.Array) -> pa.Array:
-        a, b = permutations(num_perm, seed)
-        out = []
-        for v in values:
-            h = np.asarray(v.values) if v.is_valid else None
-            if h is None:
-                out.append(None)
-            elif not len(h):
-                out.append(np.full(num_perm, PRIME))
-            else:
-                out.append(np.minimum.reduce([((x[:, None] * a + b) % PRIME).min(0) for x in np.array_split(h, -(-len(h) // 4096))]))
-        return pa.array(out, pa.list_(pa.int64()))
-
-    return least(hashes)
-
-
-def bands(sig: Column, threshold: float = 0.8, num_perm: int = 128) -> Column:
-    """array of struct(band, band_hash)."""
+        return pa.array(_least(values, num_perm, seed), pa.list_(pa.int64()))
+
+    return least(_hashes(text))
+
+
+def band_rows(df: DataFrame, key: str, *, text: str | None = None, sig: str | None = None, threshold: float = 0.8, num_perm: int = 128, seed: int = 1) -> DataFrame:
+    """(key, band, band_hash): the bands of each row's text, or of its signature if that is stored."""
     b, r = lsh_parameters(threshold, num_perm)
-    return F.transform(F.sequence(F.lit(0), F.lit(b - 1)), lambda i: F.struct(i.alias("band"), F.sha2(F.array_join(F.slice(sig, i * r + 1, r).cast("array<string>"), ","), 256).alias("band_hash")))
+    names = [key, "band", "band_hash"]
+
+    def run(batches):
+        for rows in batches:
+            rows = rows.filter(rows.column(1).is_valid())
+            made = _least(rows.column(1), num_perm, seed) if text else [np.asarray(x.values) for x in rows.column(1)]
+            hashes = [hashlib.blake2b(x.astype(np.int64).tobytes(), digest_size=16).hexdigest() for row in made for x in row[: b * r].reshape(b, r)]
+            each = pa.array(np.repeat(np.arange(len(made)), b))
+            yield pa.RecordBatch.from_arrays([rows.column(0).take(each), pa.array(np.tile(np.arange(b, dtype=np.int32), len(made))), pa.array(hashes, pa.string())], names)
+
+    values = _hashes(F.col(text)) if text else F.col(sig)
+    return df.select(key, values.alias("values")).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, band int, band_hash string")
 
 
 def first_occurrence(df: DataFrame, key: str, order: str) -> DataFrame:
@@ -79,9 +98,9 @@ def unseen(df: DataFrame, seen: DataFrame, key: str = "hash") -> DataFrame:
     return df.join(seen.select(key), key, "left_anti")
 
 
-def near_verdicts(df: DataFrame, order: str, sig: str, *, threshold: float = 0.8, num_perm: int = 128, before: DataFrame | None = None) -> DataFrame:
+def near_verdicts(df: DataFrame, order: str, text: str, *, threshold: float = 0.8, num_perm: int = 128, before: DataFrame | None = None) -> DataFrame:
     """(order, near_dup) of every row; ``before`` holds (band, band_hash) of what was indexed earlier."""
-    rows = df.select(order, F.inline(bands(F.col(sig), threshold, num_perm)))
+    rows = band_rows(df, order, text=text, threshold=threshold, num_perm=num_perm)
     if before is not None:
         rows = rows.unionByName(before.select(F.lit(None).cast(df.schema[order].dataType).alias(order), "band", "band_hash"))
     w = Window.partitionBy("band", "band_hash")
@@ -93,6 +112,5 @@ def dedup(df: DataFrame, text: str, order: str, *, threshold: float = 0.8, num_p
     """df with hash, exact_dup and near_dup; order must be unique."""
     h = df.withColumn("hash", content_hash(F.col(text)))
     h = h.withColumn("exact_dup", F.min(order).over(Window.partitionBy("hash")) < F.col(order))
-    sig = h.where("not exact_dup").select(order, signature(F.col(text), num_perm).alias("sig"))
-    near = near_verdicts(sig, order, "sig", threshold=threshold, num_perm=num_perm)
+    near = near_verdicts(h.where("not exact_dup"), order, text, threshold=threshold, num_perm=num_perm)
     return h.join(near, order, "left").withColumn("near_dup", F.coalesce("near_dup", F.lit(False)))
