@@ -73,10 +73,13 @@ def _sums(table: np.ndarray, words: np.ndarray, starts: np.ndarray, last: np.nda
 
     The table ends with a row of zeros, that of no word."""
     ends = np.append(starts[1:], len(words))
-    s = table[words[starts]]
+    words = np.append(words, np.full(half, len(table) - 1, words.dtype))
+    s = np.take(table, words[starts], axis=0)
+    row = np.empty_like(s)
     for j in range(1, half):
         at = starts + j
-        s += table[np.where(at < ends, words[np.minimum(at, len(words) - 1)], len(table) - 1)]
+        np.take(table, np.where(at < ends, words[at], len(table) - 1), axis=0, out=row, mode="clip")
+        s += row
     out = s.copy()
     more = np.flatnonzero(~last)
     out[more] += s[more + 1]
@@ -98,8 +101,11 @@ def _frequencies(half: int) -> Callable:
                 starts, _ = _blocks(w.offsets, half)
                 if not len(starts):
                     continue
-                block = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(w.hashes))))
-                df += np.bincount(np.unique(block * D + (w.hashes & K.U64(D - 1)).astype(np.int64)) & (D - 1), minlength=D)
+                kind = np.int32 if len(starts) < 1 << 17 else np.int64
+                block = np.repeat(np.arange(len(starts), dtype=kind), np.diff(np.append(starts, len(w.hashes))))
+                key = np.sort(block * kind(D) + (w.hashes & K.U64(D - 1)).astype(kind))
+                new = np.concatenate([[True], key[1:] != key[:-1]])
+                df += np.bincount(key[new] & (D - 1), minlength=D)
                 n += len(starts)
         yield pa.RecordBatch.from_arrays([pa.array([*range(D), -1], pa.int64()), pa.array([*df.tolist(), n], pa.int64())], ["w", "n"])
 
@@ -172,8 +178,8 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _total(parts: DataFrame, tasks: int, size: int) -> np.ndarray:
     """The sum of the tasks' vectors, in two levels where there are many tasks."""
     schema = "part int, numbers binary"
-    if tasks > 256:
-        parts = parts.repartition(min(1024, tasks // 32), "part", F.spark_partition_id() % 128).mapInArrow(_add, schema)
+    if tasks > 16:
+        parts = parts.repartition(min(1024, max(8, tasks // 4)), "part", F.spark_partition_id() % max(2, min(128, tasks // 16))).mapInArrow(_add, schema)
     z = np.zeros((size // _PART, _PART))
     for p, x in parts.repartition(8, "part").mapInArrow(_add, schema).collect():
         z[p] += np.frombuffer(x, np.float32)
@@ -188,7 +194,7 @@ def randomised_svd(texts: DataFrame, idf: np.ndarray, half: int) -> tuple[np.nda
     if not s[0]:
         return np.zeros((D, RANK)), np.zeros(RANK)
     q = q.T * (s > s[0] * 1e-6)
-    table = np.vstack([idf[:, None] * q, np.zeros((1, SKETCH))]).astype(np.float32)
+    table = np.ascontiguousarray(np.vstack([idf[:, None] * q, np.zeros((1, SKETCH))]), np.float32)  # in row order, or take() copies it each time
     g = _total(texts.mapInArrow(_gram(table, half), schema), tasks, SKETCH * SKETCH).reshape(SKETCH, SKETCH)
     lam, u = np.linalg.eigh((g + g.T) / 2)
     return q @ u[:, ::-1][:, :RANK], np.sqrt(np.maximum(lam[::-1][:RANK], 0))
@@ -236,27 +242,31 @@ def _matches(text: pa.Array, items: Items, embed: np.ndarray, rules: Rules) -> I
         if not len(starts) or not items.ids:
             continue
         v = _sums(embed, (w.hashes & K.U64(D - 1)).astype(np.int16), starts, last, half)
-        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+        size = np.maximum(np.sqrt(np.einsum("ij,ij->i", v, v)), 1e-9)
         cos = v @ items.vectors.T
-        block, item = np.nonzero((cos >= rules.cosine) & _passages(last)[:, None])
-        if not len(block):
+        some = np.flatnonzero((cos.max(1) >= rules.cosine * size) & _passages(last))
+        if not len(some):
             continue
+        block, item = np.nonzero(cos[some] >= rules.cosine * size[some, None])
+        block = some[block]
+        order = np.lexsort((item, starts[block]))
+        block, item = block[order], item[order]
         doc = np.searchsorted(w.offsets, starts[block], "right") - 1
         best: dict[tuple[int, int], tuple] = {}
         for d, b, i in zip(doc.tolist(), block.tolist(), item.tolist()):
-            size, whole, tail, answer = items.masks[i]
-            lo = max(int(w.offsets[d]), int(starts[b]) - size)
-            hi = min(int(w.offsets[d + 1]), int(starts[b]) + rules.window + size)
+            m, whole, tail, answer = items.masks[i]
+            lo = max(int(w.offsets[d]), int(starts[b]) - m)
+            hi = min(int(w.offsets[d + 1]), int(starts[b]) + rules.window + m)
             words = w.hashes[lo:hi].tolist()
-            if sum(map(whole.__contains__, words)) < rules.partial * size:
+            if sum(map(whole.__contains__, words)) < rules.partial * m:
                 continue
-            share = lcs(words, size, whole) / size
+            share = lcs(words, m, whole) / m
             if share < min(rules.partial, rules.coverage):
                 continue
             end = lcs(words, tail, answer) / tail
             if (share >= rules.coverage or (share >= rules.partial and end >= rules.answer)) and share > best.get((d, i), (0, 0))[1]:
                 at = int(w.offsets[d])
-                best[d, i] = float(cos[b, i]), share, end, lo - at, hi - at
+                best[d, i] = float(cos[b, i] / size[b]), share, end, lo - at, hi - at
         for (d, i), x in best.items():
             yield row + d, i, *x
 
@@ -271,7 +281,7 @@ def _space(docs: DataFrame, rules: Rules) -> np.ndarray:
     idf = np.log((1 + df[-1]) / (1 + df[:-1])).astype(np.float32)
     vectors, sing = randomised_svd(texts, idf, half)
     scale = np.where(sing > sing.max() * 1e-6, 1 / np.maximum(sing, 1e-30), 0) * max(sing.max(), 1e-30)
-    return np.vstack([idf[:, None] * vectors * scale, np.zeros((1, RANK))]).astype(np.float32)
+    return np.ascontiguousarray(np.vstack([idf[:, None] * vectors * scale, np.zeros((1, RANK))]), np.float32)
 
 
 def _tiles(docs: DataFrame, benchmark: DataFrame, rules: Rules, per_pass: int) -> Iterator:
