@@ -134,8 +134,14 @@ def repeated_passages(docs: DataFrame, *, size: int = 18, reach: int = 7, thresh
     comp = cut(components(first), "components")
     lab = listed.select("v", "unit").join(comp.withColumnRenamed("id", "unit"), "unit", "left").select("v", "unit", F.coalesce("root", "unit").alias("c"))
     lab = cut(lab.withColumn("l", F.min("c").over(by)).withColumn("h", F.max("c").over(by)).where("l < h").select("v", "unit", "c"), "mixed")
-    rest = lab.toDF("v", "a", "ca").join(lab.toDF("v", "b", "cb"), "v").where("a < b and ca <> cb").select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
-    second = _verified(rest, contents, threshold, broadcast_limit)
+    # verified as they are joined, so that pairs with only a phrase in common are never written
+    ids = cut(lab.select("unit").distinct(), "ids")
+    few = maybe_broadcast(ids, ids.count(), 16, broadcast_limit)
+    held = lab.join(contents.join(few, "unit", "left_semi").groupBy("unit").agg(F.first("pairs").alias("p")), "unit").select("v", "unit", "c", "p")
+    held = cut(held, "held")
+    both = F.size(F.array_intersect("pa", "pb"))
+    j = held.toDF("v", "a", "ca", "pa").join(held.toDF("v", "b", "cb", "pb"), "v").where("a < b and ca <> cb")
+    second = cut(j.where(both / F.size(F.array_union("pa", "pb")) >= threshold).select("a", "b").distinct(), "verified")
     if not second.isEmpty():
         comp = cut(components(first.union(second)), "components")
 
