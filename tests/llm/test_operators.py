@@ -157,6 +157,19 @@ def test_packing(spark, edges):
     assert packing.pack_related(edges).count() > 0 and packing.pack_related(edges.limit(0)).count() == 0
 
 
+def test_neighbours_against_all_pairs(spark):
+    # values that many hold in different sets, so that partners lie far apart in every list
+    sk = [sorted({rng.randint(0, 30) for _ in range(rng.randint(0, 6))} | {rng.randint(100, 400) for _ in range(rng.randint(0, 3))}) for _ in range(400)]
+    sk += [[1, 2, 3]] * 20 + [[40, 41, 5000 + i] for i in range(90)]
+    got = {}
+    for r in packing.neighbour_graph(spark.createDataFrame(list(enumerate(sk)), "row long, sketch array<long>"), short=8).collect():
+        assert r.weight == len({*sk[r.a]} & {*sk[r.b]}) and r.a != r.b
+        got.setdefault(r.a, []).append(r.weight)
+    for i, x in enumerate(sk):
+        want = sorted((n for j, y in enumerate(sk) if j != i and (n := len({*x} & {*y}))), reverse=True)[:6]
+        assert sorted(got.get(i, []), reverse=True)[: len(want)] == want
+
+
 def test_walk():
     e = [(1, 2, 5), (2, 3, 1), (2, 4, 3)]
     assert packing.walk([*e, *((b, a, w) for a, b, w in e)]) == [[1, 2, 4], [3]]
