@@ -175,6 +175,31 @@ def test_walk():
     assert packing.walk([*e, *((b, a, w) for a, b, w in e)]) == [[1, 2, 4], [3]]
 
 
+def test_walk_of_large_components(spark):
+    # a chain in which each text shares half with the next
+    parts = [prose(40) for _ in range(41)]
+    texts = [a + " " + b for a, b in zip(parts, parts[1:])]
+    got = packing.pack_related(frame(spark, texts), window=10**6, walk_size=8).collect()
+    order = [d for r in got for d in r.doc_ids]
+    assert sorted(order) == list(range(40)) and np.mean([abs(a - b) == 1 for a, b in zip(order, order[1:])]) > 0.9
+    e = [(rng.randint(0, 60), rng.randint(0, 60), rng.randint(1, 5)) for _ in range(150)]
+    e = list({(min(a, b), max(a, b)): (min(a, b), max(a, b), w) for a, b, w in e if a != b}.values())
+    linked, both = {frozenset(x[:2]) for x in e}, spark.createDataFrame([*e, *((b, a, w) for a, b, w in e)], "a long, b long, weight long")
+    found = []
+    for one_task in (0, 30, 1000):
+        paths = {}
+        for r in packing.joined(both, one_task).collect():
+            paths.setdefault(r.part, []).append((r.place, r.row))
+        assert all(sorted(p for p, _ in x) == list(range(len(x))) for x in paths.values())
+        paths = [[r for _, r in sorted(x)] for x in paths.values()]
+        assert sorted(r for p in paths for r in p) == sorted({r for x in e for r in x[:2]})
+        assert all(frozenset(x) in linked for p in paths for x in zip(p, p[1:]))
+        # no edge is left between the ends of two paths
+        assert not any(frozenset((x, y)) in linked for p in paths for q in paths if p is not q for x in (p[0], p[-1]) for y in (q[0], q[-1]))
+        found.append({frozenset(x) for p in paths for x in zip(p, p[1:])})
+    assert found[0] == found[1] == found[2]
+
+
 def test_licenses(spark, edges):
     mit = licenses.TEMPLATES["MIT"]
     changed = mit.replace("furnished", "supplied").replace("sublicense, ", "")
