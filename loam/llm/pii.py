@@ -3,8 +3,8 @@
 Candidates are tokens with a digit or an at sign.  Seed entities, those that
 strict recognisers accept (addresses, card numbers with a valid check digit,
 IPv4, telephone numbers, secrets that are assigned to a name, access keys), induce lexical
-patterns: the shape of an entity, its shape with the two tokens before it, and
-its coarser shape with them.  Spark scores the graph of patterns and instances
+patterns: the shape of an entity, and its shape and its coarser shape with the
+two tokens, the one or its word next to it, before it and after it.  Spark scores the graph of patterns and instances
 by turns (as in DIPRE and Snowball: Brin 1998; Agichtein and Gravano 2000):
 
 * a pattern's confidence is the sum of its distinct instances' over their
@@ -86,8 +86,8 @@ def shape(entity: str) -> str:
     return _RUN.sub(one, entity)
 
 
-def candidates(data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[int, int, str, str]]:
-    """(row, byte in the text, entity, the two tokens before) of each candidate."""
+def candidates(data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[int, int, str, str, str]]:
+    """(row, byte in the text, entity, the two tokens before, the two after) of each candidate."""
     flagged = np.flatnonzero(_FLAG[data])
     if not len(flagged):
         return
@@ -123,32 +123,38 @@ def candidates(data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[int, int, s
         if name:
             a, entity = a + len(name[0].encode()), entity[name.end() :]
         before = raw[max(begin, a - 60) : a].decode(errors="replace").rstrip("\"'").split()[-2:]
-        yield o, a - begin, entity, " ".join(before)
+        end = a + len(entity.encode())
+        after = raw[end : min(int(offs[o + 1]), end + 60)].decode(errors="replace").lstrip("\"'").split()[:2]
+        yield o, a - begin, entity, " ".join(before), " ".join(after)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "start", "entity", "before", "shape", "seed"]
+    names = ["doc_id", "start", "entity", "before", "after", "shape", "seed"]
     for b in batches:
         for row, _, data, offs in K.chunks(b.column(1)):
-            found = [(row + r, at, e, c, shape(e), seed_kind(e, c)) for r, at, e, c in candidates(data, offs)]
+            found = [(row + r, at, e, c, d, shape(e), seed_kind(e, c)) for r, at, e, c, d in candidates(data, offs)]
             if found:
                 r, at, *rest = zip(*found)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(r)), pa.array(at, pa.int64()), *(pa.array(x, pa.string()) for x in rest)], names)
 
 
-def identifiers(docs: DataFrame, *, prior: float = 1.0, accept: float = 0.3, rounds: int = 6) -> DataFrame:
+def identifiers(docs: DataFrame, *, prior: float = 1.0, accept: float = 0.3) -> DataFrame:
     """(doc_id, start, entity, kind, seed, confidence): start is the entity's first byte in the text."""
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").mapInArrow(_extract, "doc_id long, start long, entity string, before string, shape string, seed string")
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").mapInArrow(_extract, "doc_id long, start long, entity string, before string, after string, shape string, seed string")
     found = cut(found, "candidates")
     coarse = F.regexp_replace("shape", r"\d+", "")
-    context = F.when(F.col("before").rlike(r"[=:#]\W*$"), F.lower(F.regexp_replace("before", r"^.*?(\w+\W*)$", "$1")))
-    patterns = F.array_compact(F.array(F.concat(F.lit("shape "), "shape"), F.concat(F.lit("left "), context, F.lit(" "), "shape"), F.concat(F.lit("near "), context, F.lit(" "), coarse)))
+    left, right = F.lower("before"), F.lower("after")
+    # a token may hold more than the word next to the entity
+    contexts = [("left", left), ("last", F.regexp_extract(left, r"(\S+)$", 1)), ("last", F.regexp_extract(left, r"(\w+\W*)$", 1))]
+    contexts += [("right", right), ("next", F.regexp_extract(right, r"^(\S+)", 1)), ("next", F.regexp_extract(right, r"^(\W*\w+)", 1))]
+    both = [F.when(c != "", F.concat(F.lit(f"{n} {kind} "), c, F.lit(" "), form)) for n, c in contexts for kind, form in (("shape", F.col("shape")), ("near", coarse))]
+    patterns = F.array_distinct(F.array_compact(F.array(F.concat(F.lit("shape "), "shape"), *both)))
     graph = cut(found.select("entity", "seed", F.explode(patterns).alias("pattern")).groupBy("entity", "pattern").agg(F.max("seed").alias("seed")), "graph")
     links = graph.select("entity", "pattern")
     seeds = graph.groupBy("entity").agg(F.max("seed").alias("seed"))
     instances = cut(seeds.select("entity", "seed", F.col("seed").alias("kind"), F.when(F.col("seed").isNotNull(), 1.0).otherwise(0.0).alias("c")), "instances")
     known = -1
-    for _ in range(rounds):
+    while True:
         scored = links.join(instances, "entity").groupBy("pattern").agg((F.sum("c") / (F.count("*") + prior)).alias("p"), F.mode("kind").alias("guess"))
         scored = cut(scored.where(F.col("p") >= accept), "patterns")
         n = scored.count()

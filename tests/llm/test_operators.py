@@ -264,6 +264,15 @@ def test_pii(spark, edges):
     assert pii.identifiers(edges).count() == 0 and pii.identifiers(edges.limit(0)).count() == 0
 
 
+def test_pii_contexts(spark):
+    # no recogniser knows the odd numbers; the words before or after tell them
+    texts = [f"{prose(9)} call me on +1 555 555 010{i} {prose(5)}" for i in range(4)] + [f"{prose(9)} call me on +44 20 79460 999 {prose(5)}"]
+    texts += [f"{prose(9)} +1 555 555 011{i} belongs to {prose(5)}" for i in range(4)] + [f"{prose(9)} +44 20 79460 998 belongs to {prose(5)}"]
+    texts += [f"{prose(9)} +44 20 79460 997 {prose(5)}"]
+    got = {(r.doc_id, r.entity, r.kind) for r in pii.identifiers(frame(spark, texts)).where("not seed").collect()}
+    assert {x for x in got if x[1].startswith("+44")} >= {(4, "+44 20 79460 999", "phone"), (9, "+44 20 79460 998", "phone")}
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
