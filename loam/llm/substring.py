@@ -13,13 +13,18 @@ paragraph is the set of its word pairs.
   verifies; then all pairs of a list that lie in different components are
   verified too.  So nothing is capped and near copies cost no square.
 * Components of units are clusters.  Of a cluster's occurrences the first, by
-  doc_id and place, stays; the others are removed, joined to spans.
+  doc_id, text and place, stays.  The others lie along it: those of one text that are
+  as far from the same first ones, with up to ``bridge`` words between, are a run.
+* A run is extended to both ends, word by word against the first, up to ``along`` words: a match
+  gains 1, a change loses 3, and it ends where 6 are lost.  Where runs touch they
+  are one passage, and passages of at least ``min_words`` are reported.
 
-Nulls: rows of null doc_id or text are left out.  Rows of one doc_id count as
-one document; a repeated row's passages repeat those of the first in the same
-places and aren't occurrences of their own.  Texts of fewer than ``size`` words
-have no paragraph.  Very long texts are cut like others.  Empty tables give
-empty results.  Only doc_id and text are read.
+Nulls: rows of null doc_id or text are left out.  Equal rows are one document; different
+texts under one doc_id are each a document, told apart by their hash.  Texts of fewer than
+``size`` words have no paragraph.  Very long texts are cut like others; a task holds one
+text and its words.  Ties don't matter: equal paragraphs are ordered by place.  Empty tables give
+empty results.  doc_ids are integers or can be cast to them.  Only doc_id and text are read;
+``drop_passages`` passes on all columns and counts ``n_chars`` again where it is there.
 """
 
 from __future__ import annotations
@@ -33,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _kernel as K
-from ._spark import components, cut, maybe_broadcast
+from ._spark import col, components, cut, fresh, maybe_broadcast
 
 
 def tune(threshold: float, recall: float, rows: int = 4) -> int:
@@ -90,9 +95,10 @@ def _listed(docs: DataFrame, size: int, reach: int, bands: int, rows: int) -> Da
                     band = K.mix(band) * K.U64(0x9FB21C651E98DF25) + sig[..., r]
                 band = K.signed(K.mix(band + np.arange(bands, dtype=K.U64)))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(band) + 1) * bands, pa.int32()), pa.array(band.ravel()))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(place.astype(np.int32)), pa.array(_unit(pairs)), lists], ["doc_id", "place", "unit", "bands"])
+                row = pa.array(row)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(row), b.column(2).take(row), pa.array(place.astype(np.int32)), pa.array(_unit(pairs)), lists], ["doc_id", "t", "place", "unit", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, place int, unit long, bands array<long>")
+    return docs.select("doc_id", "text", "t").mapInArrow(run, "doc_id long, t long, place int, unit long, bands array<long>")
 
 
 def _contents(docs: DataFrame, size: int, reach: int) -> DataFrame:
@@ -118,12 +124,97 @@ def _verified(pairs: DataFrame, contents: DataFrame, threshold: float, limit: in
     return cut(j.where(both / F.size(F.array_union("pa", "pb")) >= threshold).select("a", "b"), "verified")
 
 
-def repeated_passages(docs: DataFrame, *, size: int = 18, reach: int = 7, threshold: float = 0.75, recall: float = 0.8, broadcast_limit: int = 64 << 20) -> DataFrame:
-    """(doc_id, start_word, end_word, keep): the spans that repeat; keep is true for a cluster's first occurrence."""
-    d = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def _contexts(along: int):
+    """Of (doc_id, t, text, before, after): 16 bits of each of the words before and after the places, away from them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo, _, data, offs in K.chunks(b.column(2)):
+                w = K.words(data, offs)
+                h = (w.hashes >> K.U64(48)).astype(np.uint16)
+                rows, pos, side, ctx = [], [], [], []
+                for i in range(len(offs) - 1):
+                    mine = h[w.offsets[i] : w.offsets[i + 1]]
+                    for s, c in ((0, 3), (1, 4)):
+                        for p in b.column(c)[lo + i].as_py() or ():
+                            rows.append(lo + i)
+                            pos.append(p)
+                            side.append(s)
+                            ctx.append((mine[p : p + along] if s else mine[max(0, p - along) : p][::-1]).tobytes())
+                if rows:
+                    rows = pa.array(rows)
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array(pos, pa.int32()), pa.array(side, pa.int32()), pa.array(ctx, pa.binary())], ["doc_id", "t", "pos", "side", "ctx"])
+
+    return run
+
+
+def common(a: pa.Array, b: pa.Array, along: int, loss: int = 3, drop: int = 6) -> np.ndarray:
+    """How far each pair of contexts goes on alike."""
+
+    def table(x):
+        raw = [np.frombuffer(y.as_buffer(), np.uint16) if y.is_valid else np.zeros(0, np.uint16) for y in x]
+        size = np.array([len(y) for y in raw], np.int64)
+        out = np.zeros((len(raw), along), np.uint16)
+        out[np.repeat(np.arange(len(raw)), size), np.concatenate([np.arange(0), *map(np.arange, size)])] = np.concatenate([np.zeros(0, np.uint16), *raw])
+        return out, size
+
+    if not len(a):
+        return np.zeros(0, np.int64)
+    (x, n), (y, m) = table(a), table(b)
+    inside = np.arange(along) < np.minimum(n, m)[:, None]
+    score = np.cumsum(np.where(x == y, 1, -loss), 1)
+    alive = inside & np.logical_and.accumulate(np.maximum(np.maximum.accumulate(score, 1), 0) - score <= drop, axis=1)
+    score = np.where(alive, score, 0)
+    return np.where(score.max(1) > 0, score.argmax(1) + 1, 0)
+
+
+def _spans(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Of (doc_id, t, intervals (start, end, keep)): the spans of passages of at least so many words; what is removed isn't kept."""
+    for b in batches:
+        rows, spans = [], []
+        for i, parts in enumerate(b.column(2).to_pylist()):
+            parts = sorted((p["s"], p["e"], p["keep"]) for p in parts)
+            whole: list[list[int]] = []
+            for s, e, _ in parts:
+                if whole and s <= whole[-1][1]:
+                    whole[-1][1] = max(whole[-1][1], e)
+                else:
+                    whole.append([s, e])
+            gone: list[list[int]] = []
+            for s, e, keep in parts:
+                if not keep:
+                    if gone and s <= gone[-1][1]:
+                        gone[-1][1] = max(gone[-1][1], e)
+                    else:
+                        gone.append([s, e])
+            j = 0
+            for s, e in whole:
+                mine = []
+                while j < len(gone) and gone[j][0] < e:
+                    mine.append(gone[j])
+                    j += 1
+                if e - s < least:
+                    continue
+                at = s
+                for lo, hi in [*mine, [e, e]]:
+                    if at < lo:
+                        spans.append((at, lo, True))
+                    if lo < hi:
+                        spans.append((lo, hi, False))
+                    at = hi
+                rows += [i] * (len(spans) - len(rows))
+        if rows:
+            rows = pa.array(rows)
+            s, e, keep = zip(*spans)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array(s, pa.int64()), pa.array(e, pa.int64()), pa.array(keep)], ["doc_id", "t", "start_word", "end_word", "keep"])
+
+
+def _repeats(docs: DataFrame, *, size: int = 16, reach: int = 6, threshold: float = 0.75, recall: float = 0.95, bridge: int = 32, along: int = 48, min_words: int = 40, broadcast_limit: int = 64 << 20) -> DataFrame:
+    """(doc_id, t, start_word, end_word, keep): spans, with the hash of the text in which they are."""
+    d = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("t"))
     bands = tune(threshold, recall)
     made = _listed(d, size, reach, bands, 4)
-    units = cut(made.select("doc_id", "place", "unit"), "units")
+    units = cut(made.select("doc_id", "t", "place", "unit"), "units")
     by = Window.partitionBy("v")
     rows = made.select("unit", F.explode("bands").alias("v"))
     ends = rows.withColumn("lo", F.min("unit").over(by)).withColumn("hi", F.max("unit").over(by)).where("lo < hi")
@@ -145,25 +236,57 @@ def repeated_passages(docs: DataFrame, *, size: int = 18, reach: int = 7, thresh
     if not second.isEmpty():
         comp = cut(components(first.union(second)), "components")
 
+    # every occurrence with the first of its cluster
     small = maybe_broadcast(comp.withColumnRenamed("id", "unit"), comp.count(), 24, broadcast_limit)
-    occ = units.join(small, "unit", "left").select("doc_id", "place", F.coalesce("root", "unit").alias("c")).distinct()
-    mine = Window.partitionBy("c")
-    at = F.struct("doc_id", "place")
-    occ = occ.withColumn("n", F.count("*").over(mine)).withColumn("first", F.min(at).over(mine)).where("n > 1").select("doc_id", "place", (at == F.col("first")).alias("keep"))
-    # overlapping paragraphs of one kind are one span
-    along = Window.partitionBy("doc_id", "keep").orderBy("place")
-    occ = occ.withColumn("new", F.coalesce(F.col("place") > F.lag("place").over(along) + size, F.lit(True)).cast("int"))
-    occ = occ.withColumn("span", F.sum("new").over(along))
-    spans = occ.groupBy("doc_id", "keep", "span").agg(F.min("place").alias("start_word"), (F.max("place") + size).alias("end_word"))
-    return spans.select("doc_id", F.col("start_word").cast("long"), F.col("end_word").cast("long"), "keep")
+    occ = units.join(small, "unit", "left").select("doc_id", "t", "place", F.coalesce("root", "unit").alias("c"))
+    at = F.struct("doc_id", "t", "place")
+    firsts = occ.groupBy("c").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first <> last").select("c", "first")
+    occ = occ.join(cut(firsts, "firsts"), "c").where(at != F.col("first")).distinct()
+    key = ["doc_id", "t", "fd", "ft", "d"]
+    occ = occ.select("doc_id", "t", "place", F.col("first.doc_id").alias("fd"), F.col("first.t").alias("ft"), (F.col("place") - F.col("first.place")).alias("d"))
+    order = Window.partitionBy(*key).orderBy("place")
+    occ = occ.withColumn("new", F.coalesce(F.col("place") > F.lag("place").over(order) + size + bridge, F.lit(True)).cast("int"))
+    runs = occ.withColumn("run", F.sum("new").over(order)).groupBy(*key, "run").agg(F.min("place").alias("s"), (F.max("place") + size).alias("e"))
+    runs = cut(runs.drop("run"), "runs")
+
+    # what stands before and after the runs, there and at the first
+    side = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("s").alias("pos")), F.struct(F.lit(1).alias("side"), F.col("e").alias("pos")))).alias("end")
+    ends = runs.select("*", side).select(*key, "s", "e", "end.side", "end.pos", (F.col("end.pos") - F.col("d")).alias("fpos"))
+    want = ends.select("doc_id", "t", "side", "pos").union(ends.select("fd", "ft", "side", "fpos")).distinct()
+    want = want.groupBy("doc_id", "t").agg(F.collect_list(F.when(F.col("side") == 0, F.col("pos"))).alias("before"), F.collect_list(F.when(F.col("side") == 1, F.col("pos"))).alias("after"))
+    want = cut(want, "want")
+    bytes_ = want.agg(F.sum(32 + 4 * (F.size("before") + F.size("after")))).first()[0] or 0
+    texts = d.join(maybe_broadcast(want, 1, bytes_, broadcast_limit), ["doc_id", "t"]).select("doc_id", "t", "text", "before", "after")
+    ctx = texts.mapInArrow(_contexts(along), "doc_id long, t long, pos int, side int, ctx binary")
+    ctx = cut(ctx.dropDuplicates(["doc_id", "t", "pos", "side"]), "contexts")
+
+    @F.arrow_udf("int")
+    def alike(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array(common(a, b, along), pa.int32())
+
+    far = ends.join(ctx.withColumnRenamed("ctx", "x"), ["doc_id", "t", "side", "pos"]).join(ctx.toDF("fd", "ft", "fpos", "side", "y"), ["fd", "ft", "side", "fpos"])
+    far = far.select(*key, "s", "e", "side", alike("x", "y").alias("n")).groupBy(*key, "s", "e").agg(F.max(F.when(F.col("side") == 0, F.col("n"))).alias("l"), F.max(F.when(F.col("side") == 1, F.col("n"))).alias("r"))
+    far = cut(far, "far")
+    gone = far.select("doc_id", "t", (F.col("s") - F.col("l")).alias("s"), (F.col("e") + F.col("r")).alias("e"), F.lit(False).alias("keep"))
+    d0 = F.col("d")
+    kept = far.groupBy("fd", "ft", (F.col("s") - d0).alias("s"), (F.col("e") - d0).alias("e")).agg(F.max("l").alias("l"), F.max("r").alias("r"))
+    kept = kept.select("fd", "ft", F.col("s") - F.col("l"), F.col("e") + F.col("r"), F.lit(True))
+    parts = gone.union(kept).groupBy("doc_id", "t").agg(F.collect_set(F.struct("s", "e", "keep")).alias("parts"))
+    return parts.mapInArrow(lambda batches: _spans(batches, min_words), "doc_id long, t long, start_word long, end_word long, keep boolean")
+
+
+def repeated_passages(docs: DataFrame, **params) -> DataFrame:
+    """(doc_id, start_word, end_word, keep): the spans that repeat; keep is true for a passage's first occurrence."""
+    return _repeats(docs, **params).drop("t")
 
 
 def drop_passages(docs: DataFrame, **params) -> DataFrame:
-    """docs with the removed spans cut out of their texts; all other columns and rows as they are."""
-    spans = repeated_passages(docs, **params).where("not keep").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start_word", "end_word"))).alias("spans"))
-    (key, drop) = ("__doc", "__spans")
-    spans = cut(spans.toDF(key, drop), "spans")
-    spans = maybe_broadcast(spans, spans.count(), 128, params.get("broadcast_limit", 64 << 20))
+    """docs with the removed spans cut out of their texts and n_chars counted again; all other columns and rows as they are."""
+    key, whole, drop = fresh(docs, "doc", "text", "spans")
+    spans = _repeats(docs, **params).where("not keep").groupBy("doc_id", "t").agg(F.array_sort(F.collect_list(F.struct("start_word", "end_word"))).alias(drop))
+    spans = cut(spans.toDF(key, whole, drop), "spans")
+    bytes_ = spans.agg(F.sum(48 + 16 * F.size(drop))).first()[0] or 0
+    spans = maybe_broadcast(spans, 1, bytes_, params.get("broadcast_limit", 64 << 20))
 
     @F.arrow_udf("string")
     def without(text: pa.Array, gone: pa.Array) -> pa.Array:
@@ -181,5 +304,14 @@ def drop_passages(docs: DataFrame, **params) -> DataFrame:
             out.append(x)
         return pa.array(out, pa.string())
 
-    j = docs.join(spans, docs["doc_id"] == spans[key], "left")
-    return j.select(*(without(docs["text"], F.col(drop)).alias("text") if c == "text" else docs[c] for c in docs.columns))
+    j = docs.join(spans, (col("doc_id").cast("long") == F.col(key)) & (F.xxhash64(col("text")) == F.col(whole)), "left")
+    j = j.withColumn(whole, F.when(F.col(drop).isNull(), col("text")).otherwise(without(col("text"), F.col(drop))))
+    out = []
+    for c in docs.columns:
+        if c == "text":
+            out.append(F.col(whole).alias("text"))
+        elif c == "n_chars":
+            out.append(F.when(F.col(drop).isNull(), col(c)).otherwise(F.length(whole).cast(docs.schema[c].dataType)).alias(c))
+        else:
+            out.append(col(c))
+    return j.select(*out)
