@@ -1,27 +1,37 @@
 """Personal data by bootstrapped contextual extraction.
 
-Candidates are tokens with a digit or an at sign.  Seed entities, those that
-strict recognisers accept (addresses, card numbers with a valid check digit,
-IPv4, telephone numbers, secrets that are assigned to a name, access keys), induce lexical
-patterns: the shape of an entity, and its shape and its coarser shape with the
-two tokens, the one or its word next to it, before it and after it.  Spark scores the graph of patterns and instances
-by turns (as in DIPRE and Snowball: Brin 1998; Agichtein and Gravano 2000):
+Seed entities, those that strict recognisers accept (addresses, card numbers with
+a valid check digit, IPv4, telephone numbers, secrets that are assigned to a name,
+access keys), induce lexical patterns: what stands before an entity, one, two or
+three tokens, or after it, one or two, each with the entity's shape or its coarser shape;
+the shape alone; and two or three tokens before it whatever the entity looks like.
+Spark scores the graph of patterns and instances by turns (as in DIPRE and Snowball:
+Brin 1998; Agichtein and Gravano 2000):
 
 * a pattern's confidence is the sum of its distinct instances' over their
-  number plus ``prior``, and it counts from ``accept`` on;
+  number plus ``prior``, and it counts from ``accept`` on if at least ``least`` of
+  them are seeds;
 * an instance's is 1 - the product of 1 - its patterns', and 1 for seeds;
 
-until no further pattern is accepted.  What accepted patterns match is
-reported, recognised by a seed or not.
+until no further pattern is accepted and the mean confidence stands still to a hundredth.
 
-One pass extracts candidates, a few in a thousand words; only they are
-shuffled.  Patterns and instances stay tables of any size.
+Instances are found in two ways.  Runs of letters, digits and the signs of identifiers that have a
+digit or an at sign are candidates at once; they end at any other sign and where ASCII ends, so
+identifiers in CSV, JSON, URLs or Chinese text are found too, and may be of any length.
+Numbers that are written in groups are searched as a whole.  Then every text is scanned
+for the accepted contexts themselves, and what follows them without a digit, a word or
+some capitalised ones, is an instance as well: it may be reported, or take a context's confidence
+away if words follow it at will.  That ends when no context is new.
 
-Nulls: a null text has no candidates, a null doc_id is passed on.  Repeated
-rows report their entities once each; an entity that occurs twice in a text is
-reported at each place, and is one instance.  Candidates longer than 400 bytes
-are no identifiers (a definition, not a cut: texts are read whole).  Empty
-tables give empty results.
+What accepted patterns match is reported, recognised by a seed or not.  Only candidates are
+shuffled.  Patterns and instances stay tables of any size, known by 64-bit hashes; contexts
+are broadcast in parts of at most ``contexts_a_pass``.
+
+Nulls: a null text has no candidates, a null doc_id is passed on.  A doc_id's entity
+at a place is reported once, so repeated rows report theirs once; an entity that occurs twice in a text is
+reported at each place, and is one instance.  Texts are read whole.  Ties: of kinds
+that a pattern's instances have equally often any may be its own.  Empty tables give empty results.  doc_ids
+are integers or can be cast to them; extra columns aren't read.
 """
 
 from __future__ import annotations
@@ -37,20 +47,26 @@ from pyspark.sql import functions as F
 from . import _kernel as K
 from ._spark import cut
 
-LONGEST = 400
 _FLAG = np.zeros(256, bool)
 _FLAG[[*b"0123456789@"]] = True
-_PART = re.compile(r"\+?\(?[0-9][0-9().\-/]*")
-_RUN = re.compile(r"[0-9A-Za-z\x80-\U0010ffff]+")
-_ENDS = re.compile(r"^[^0-9A-Za-z+(\x80-\U0010ffff]+|[^0-9A-Za-z)\x80-\U0010ffff]+$")
-
-_NAMED = re.compile(r"""[^=]*[A-Za-z][^=]*=["']*(?=[0-9A-Za-z]*[0-9@])""")
+#: the bytes of identifiers
+_ID = np.zeros(256, bool)
+_ID[[*b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz_.+-@%"]] = True
+_PART = re.compile(r"\+?[0-9][0-9.\-]*")
+_BETWEEN = {b" ", b"(", b")", b" (", b") ", b"/"}
+_RUN = re.compile(r"[0-9A-Za-z]+")
+_ENDS = re.compile(r"^[_.%@-]+|[_.%@+-]+$")
+_NAME = re.compile(rb"[A-Z][A-Za-z]*(?: [A-Z][A-Za-z]*(?![0-9A-Za-z@]))*")
 
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
-_IP = re.compile(r"(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)")
-_PHONE = re.compile(r"\+\d{1,3} ?\(?\d{2,4}\)? ?\d{3,4}[- ]?\d{3,4}")
+_IP = re.compile(r"(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)")
+_PHONE = re.compile(r"(?<![0-9])\+\d{1,3} ?\(?\d{2,4}\)? ?\d{3,4}[- ]?\d{3,4}(?![0-9])")
+_CARD = re.compile(r"(?<![0-9])[3-6]\d{3}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![0-9])")
 _ACCESS = re.compile(r"(?:AKIA|ASIA)[0-9A-Z]{16}")
-_HEX = re.compile(r"(?=.*\d)(?=.*[A-Za-z])[0-9A-Za-z_\-]{16,}")
+_HEX = re.compile(r"(?=[^0-9]*[0-9])(?=[^A-Za-z]*[A-Za-z])[0-9A-Za-z_\-]{16,}")
+_ASSIGNED = re.compile(r"""(?i)(?:token|key|secret|password|passwd|pwd)["']?\s*[=:]\s*["']?$""")
+_VERSION = re.compile(r"(?i)\b(?:v|ver|version|release|firmware)\.?\s*$")
+_NEAR = 64  # bytes before an entity that tell what it is assigned to
 
 
 def luhn(digits: str) -> bool:
@@ -60,110 +76,204 @@ def luhn(digits: str) -> bool:
 
 def seed_kind(entity: str, before: str) -> str | None:
     """The kind of a seed entity, None if no recogniser accepts it."""
-    if _EMAIL.fullmatch(entity):
-        return "email"
+    if "@" in entity:
+        return "email" if _EMAIL.fullmatch(entity) else None
     if _IP.fullmatch(entity):
-        return "ip"
+        return None if _VERSION.search(before) else "ip"
     if _PHONE.fullmatch(entity):
         return "phone"
-    if 13 <= len(entity) <= 19 and entity.isascii() and entity.isdigit() and luhn(entity):
-        return "card"
-    if _HEX.fullmatch(entity) and re.search(r"(?i)(token|key|secret|password)\W*=\W*$", before):
-        return "secret"
-    if _ACCESS.fullmatch(entity):
+    if _CARD.fullmatch(entity):
+        digits = re.sub("[ -]", "", entity)
+        return "card" if len(digits) <= 19 and luhn(digits) else None
+    if _ACCESS.fullmatch(entity) or _HEX.fullmatch(entity) and _ASSIGNED.search(before):
         return "secret"
     return None
 
 
 def shape(entity: str) -> str:
-    """Runs of digits with their length, of letters without, mixed ones as x with their length; other signs as they are."""
+    """Runs of digits with their length, of letters without, capitalised or not, mixed ones as x with their length; other signs as they are."""
 
     def one(m: re.Match) -> str:
         s = m[0]
         n = sum(c.isdigit() for c in s)
-        return f"d{len(s)}" if n == len(s) else "a" if not n else f"x{len(s)}" if len(s) >= 16 else "x"
+        return f"d{len(s)}" if n == len(s) else ("A" if s[0].isupper() else "a") if not n else f"x{len(s)}" if len(s) >= 16 else "x"
 
     return _RUN.sub(one, entity)
 
 
-def candidates(data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[int, int, str, str, str]]:
-    """(row, byte in the text, entity, the two tokens before, the two after) of each candidate."""
+def _runs(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, start, end) of the runs of identifiers' bytes with a digit or an at sign."""
     flagged = np.flatnonzero(_FLAG[data])
-    if not len(flagged):
-        return
-    raw = data.tobytes()
     owner = np.searchsorted(offs, flagged, "right") - 1
-    # tokens lie between blanks and the ends of texts
-    spaces = np.concatenate([[-1], np.flatnonzero(K._SPACE[data]), [len(data)]])
-    at = np.searchsorted(spaces, flagged)
-    lo, hi = np.maximum(offs[owner], spaces[at - 1] + 1), np.minimum(offs[owner + 1], spaces[at])
-    first = np.concatenate([[True], lo[1:] != lo[:-1]])
-    tokens = [(int(o), int(a), int(b)) for o, a, b in zip(owner[first], lo[first], hi[first]) if b - a <= LONGEST]
+    stops = np.concatenate([[-1], np.flatnonzero(~_ID[data]), [len(data)]])
+    at = np.searchsorted(stops, flagged)
+    lo, hi = np.maximum(offs[owner], stops[at - 1] + 1), np.minimum(offs[owner + 1], stops[at])
+    first = np.ones(len(lo), bool)
+    first[1:] = lo[1:] != lo[:-1]
+    return owner[first], lo[first], hi[first]
+
+
+def candidates(data: np.ndarray, offs: np.ndarray) -> Iterator[tuple[int, int, int, str, str | None]]:
+    """(text, first byte, end, entity, kind of a seed) of each candidate."""
+    owner, lo, hi = _runs(data, offs)
+    if not len(lo):
+        return
+    raw, rows = data.tobytes(), list(zip(owner.tolist(), lo.tolist(), hi.tolist()))
+
+    def one(o: int, a: int, b: int, kind: str | None = None):
+        text = raw[a:b].decode()
+        left = _ENDS.match(text)
+        a += len(left[0]) if left else 0
+        entity = _ENDS.sub("", text)
+        if any(c.isdigit() or c == "@" for c in entity):
+            yield o, a, a + len(entity), entity, kind or seed_kind(entity, raw[max(int(offs[o]), a - _NEAR) : a].decode(errors="replace"))
+
     i = 0
-    while i < len(tokens):
-        o, a, b = tokens[i]
-        text = raw[a:b].decode(errors="replace")
+    while i < len(rows):
+        o, a, b = rows[i]
         j = i
-        # short pieces of a number that is written with blanks
-        while j + 1 < len(tokens) and tokens[j + 1][0] == o and tokens[j + 1][1] == b + 1 and b - a < 24:
-            nxt = raw[tokens[j + 1][1] : tokens[j + 1][2]].decode(errors="replace")
-            if not (_PART.fullmatch(text.split(" ")[-1]) and len(text.split(" ")[-1]) < 9 and _PART.match(nxt) and len(_ENDS.sub("", nxt)) < 12):
-                break
+        # groups of a number
+        while j + 1 < len(rows) and rows[j + 1][0] == o and raw[rows[j][2] : rows[j + 1][1]] in _BETWEEN and _PART.fullmatch(raw[rows[j][1] : rows[j][2]].decode()) and _PART.match(raw[rows[j + 1][1] : rows[j + 1][2]].decode()):
             j += 1
-            b = tokens[j][2]
-            text += " " + nxt
+        parts = rows[i : j + 1]
         i = j + 1
-        left = _ENDS.search(text)
-        skip = len(left[0].encode()) if left and left.start() == 0 else 0
-        entity = _ENDS.sub("", text)
-        if not entity or not any(c.isdigit() or c == "@" for c in entity):
+        if len(parts) == 1:
+            yield from one(o, a, b)
             continue
-        begin, a = int(offs[o]), a + skip
-        name = _NAMED.match(entity)  # what stands before an equals sign names the rest
-        if name:
-            a, entity = a + len(name[0].encode()), entity[name.end() :]
-        before = raw[max(begin, a - 60) : a].decode(errors="replace").rstrip("\"'").split()[-2:]
-        end = a + len(entity.encode())
-        after = raw[end : min(int(offs[o + 1]), end + 60)].decode(errors="replace").lstrip("\"'").split()[:2]
-        yield o, a - begin, entity, " ".join(before), " ".join(after)
+        text = raw[a : parts[-1][2]].decode()
+        found = [(a + m.start(), a + m.end(), k) for k, form in (("phone", _PHONE), ("card", _CARD)) for m in form.finditer(text) if k == "phone" or luhn(re.sub("[ -]", "", m[0]))]
+        rest: list[list[tuple[int, int]]] = [[]]
+        for _, x, y in parts:
+            if any(x < f and y > e for e, f, _ in found):
+                rest.append([])
+            else:
+                rest[-1].append((x, y))
+        for e, f, k in found:
+            yield o, e, f, raw[e:f].decode(), k
+        for group in rest:
+            # few groups are one number, a row of many is not
+            digits = sum(raw[x:y].decode().count(d) for x, y in group for d in "0123456789")
+            if 1 < len(group) <= 6 and 7 <= digits <= 19 and not any(_IP.fullmatch(raw[x:y].decode().strip(".-")) for x, y in group):
+                yield from one(o, group[0][0], group[-1][1])
+            else:
+                for x, y in group:
+                    yield from one(o, x, y)
+
+
+_SCHEMA = "doc_id long, start long, entity string, shape string, seed string, l1 long, l2 long, l3 long, r1 long, r2 long"
+_NAMES = [c.split(" ")[0] for c in _SCHEMA.split(", ")]
+
+
+def _rows(ids: pa.Array, offs: np.ndarray, w: K.Words, found: list[tuple]) -> pa.RecordBatch:
+    """The candidates (text, row, first byte, end, entity, kind) with hashes of their contexts."""
+    text, row, a, b, entity, seed = (list(x) for x in zip(*found))
+    text, a, b = np.array(text), np.array(a), np.array(b)
+    lo, hi = w.offsets[text], w.offsets[text + 1]
+    k, j = np.searchsorted(w.ends, a, "right"), np.searchsorted(w.starts, b, "left")
+
+    def at(n: int, first: np.ndarray) -> pa.Array:
+        ok = (first >= lo) & (first + n <= hi)
+        return pa.array(K.signed(w.ngrams(n)[0][np.where(ok, first, 0)]), mask=~ok)
+
+    contexts = [at(n, k - n) for n in (1, 2, 3)] + [at(n, j) for n in (1, 2)]
+    start = pa.array(a - offs[text])
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(row)), start, pa.array(entity, pa.string()), pa.array([shape(e) for e in entity], pa.string()), pa.array(seed, pa.string()), *contexts], _NAMES)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "start", "entity", "before", "after", "shape", "seed"]
     for b in batches:
         for row, _, data, offs in K.chunks(b.column(1)):
-            found = [(row + r, at, e, c, d, shape(e), seed_kind(e, c)) for r, at, e, c, d in candidates(data, offs)]
+            found = [(r, row + r, s, e, x, k) for r, s, e, x, k in candidates(data, offs)]
             if found:
-                r, at, *rest = zip(*found)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(r)), pa.array(at, pa.int64()), *(pa.array(x, pa.string()) for x in rest)], names)
+                yield _rows(b.column(0), offs, K.words(data, offs, K.CLASSES), found)
 
 
-def identifiers(docs: DataFrame, *, prior: float = 1.0, accept: float = 0.3) -> DataFrame:
-    """(doc_id, start, entity, kind, seed, confidence): start is the entity's first byte in the text."""
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").mapInArrow(_extract, "doc_id long, start long, entity string, before string, after string, shape string, seed string")
-    found = cut(found, "candidates")
+def following(data: np.ndarray, offs: np.ndarray, w: K.Words, contexts: dict[int, np.ndarray]) -> list[tuple[int, int, int, str]]:
+    """(text, first byte, end, entity) of the words without digits that follow the contexts, hashes by their number of tokens."""
+    at = [np.flatnonzero(ok & np.isin(K.signed(h), c)) + n for n, c in contexts.items() for h, ok in [w.ngrams(n)]]
+    at = np.unique(np.concatenate(at)) if at else np.zeros(0, np.int64)
+    at = at[at < len(w.hashes)]
+    text = np.searchsorted(w.offsets, at, "right") - 1
+    # in the text of the context
+    same = (at > w.offsets[text]) & (K.CLASSES[data[w.starts[at]]] == 1)
+    at, text = at[same], text[same]
+    stops = np.concatenate([np.flatnonzero(~_ID[data]), [len(data)]])
+    raw, out = data.tobytes(), []
+    for t, a in zip(text.tolist(), w.starts[at].tolist()):
+        b = min(int(stops[np.searchsorted(stops, a)]), int(offs[t + 1]))
+        entity = raw[a:b].decode().rstrip("_.%@+-")
+        if not entity or any(c.isdigit() or c == "@" for c in entity):
+            continue
+        m = _NAME.match(raw, a, int(offs[t + 1]))
+        entity = max(entity, m[0].decode(), key=len) if m else entity
+        out.append((t, a, a + len(entity), entity))
+    return out
+
+
+def _scan(spread):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row, _, data, offs in K.chunks(b.column(1)):
+                w = K.words(data, offs, K.CLASSES)
+                found = [(t, row + t, a, e, x, None) for t, a, e, x in following(data, offs, w, spread.value)]
+                if found:
+                    yield _rows(b.column(0), offs, w, found)
+
+    return run
+
+
+def _graph(found: DataFrame) -> DataFrame:
+    """(instance, pattern, seed, tokens, context): each instance's patterns; context is the hash of those that are nothing else."""
     coarse = F.regexp_replace("shape", r"\d+", "")
-    left, right = F.lower("before"), F.lower("after")
-    # a token may hold more than the word next to the entity
-    contexts = [("left", left), ("last", F.regexp_extract(left, r"(\S+)$", 1)), ("last", F.regexp_extract(left, r"(\w+\W*)$", 1))]
-    contexts += [("right", right), ("next", F.regexp_extract(right, r"^(\S+)", 1)), ("next", F.regexp_extract(right, r"^(\W*\w+)", 1))]
-    both = [F.when(c != "", F.concat(F.lit(f"{n} {kind} "), c, F.lit(" "), form)) for n, c in contexts for kind, form in (("shape", F.col("shape")), ("near", coarse))]
-    patterns = F.array_distinct(F.array_compact(F.array(F.concat(F.lit("shape "), "shape"), *both)))
-    graph = cut(found.select("entity", "seed", F.explode(patterns).alias("pattern")).groupBy("entity", "pattern").agg(F.max("seed").alias("seed")), "graph")
-    links = graph.select("entity", "pattern")
-    seeds = graph.groupBy("entity").agg(F.max("seed").alias("seed"))
-    instances = cut(seeds.select("entity", "seed", F.col("seed").alias("kind"), F.when(F.col("seed").isNotNull(), 1.0).otherwise(0.0).alias("c")), "instances")
-    known = -1
+    forms = [(c, n, f) for c in ("l1", "l2", "l3", "r1", "r2") for n, f in (("s", F.col("shape")), ("c", coarse))]
+    none = F.lit(None).cast("long")
+    each = [F.when(F.col(c).isNotNull(), F.struct(F.xxhash64(F.lit(c + n), F.col(c), f).alias("pattern"), F.lit(0).alias("tokens"), none.alias("context"))) for c, n, f in forms]
+    each += [F.when(F.col(c).isNotNull(), F.struct(F.xxhash64(F.lit(c), F.col(c)).alias("pattern"), F.lit(n).alias("tokens"), F.col(c).alias("context"))) for c, n in (("l2", 2), ("l3", 3))]
+    each.append(F.struct(F.xxhash64(F.lit("s"), F.col("shape")).alias("pattern"), F.lit(0).alias("tokens"), none.alias("context")))
+    rows = found.select(F.xxhash64("entity").alias("instance"), "seed", F.explode(F.array_compact(F.array(*each))).alias("p"))
+    return rows.groupBy("instance", "p.pattern").agg(F.max("seed").alias("seed"), F.first("p.tokens").alias("tokens"), F.first("p.context").alias("context"))
+
+
+def _scored(graph: DataFrame, prior: float, accept: float, least: int) -> tuple[DataFrame, DataFrame]:
+    """Instances (instance, seed, kind, c) and accepted patterns (pattern, p, guess, tokens, context), in balance."""
+    seeds = graph.groupBy("instance").agg(F.max("seed").alias("seed"))
+    instances = cut(seeds.select("instance", "seed", F.col("seed").alias("kind"), F.when(F.col("seed").isNotNull(), 1.0).otherwise(0.0).alias("c")), "instances")
+    links = graph.select("instance", "pattern", "tokens", "context")
+    mark = None
     while True:
-        scored = links.join(instances, "entity").groupBy("pattern").agg((F.sum("c") / (F.count("*") + prior)).alias("p"), F.mode("kind").alias("guess"))
-        scored = cut(scored.where(F.col("p") >= accept), "patterns")
-        n = scored.count()
-        if n == known:
-            break
-        known = n
+        p = links.join(instances, "instance").groupBy("pattern").agg((F.sum("c") / (F.count("*") + prior)).alias("p"), F.count("seed").alias("seeds"), F.mode("kind").alias("guess"), F.first("tokens").alias("tokens"), F.first("context").alias("context"))
+        patterns = cut(p.where((F.col("p") >= accept) & (F.col("seeds") >= least)), "patterns")
+        now = tuple(patterns.agg(F.count("*"), F.round(F.avg("p"), 2)).first())
+        if now == mark:
+            return instances, patterns
+        mark = now
         none_of = F.exp(F.sum(F.log(F.greatest(1 - F.col("p"), F.lit(1e-9)))))
-        got = links.join(scored, "pattern").groupBy("entity").agg((1 - none_of).alias("q"), F.max_by("guess", "p").alias("guess"))
+        got = links.join(patterns.select("pattern", "p", "guess"), "pattern").groupBy("instance").agg((1 - none_of).alias("q"), F.max_by("guess", F.struct("p", "guess")).alias("guess"))
         c = F.when(F.col("seed").isNotNull(), 1.0).otherwise(F.coalesce("q", F.lit(0.0)))
-        instances = cut(instances.select("entity", "seed").join(got, "entity", "left").select("entity", "seed", F.coalesce("seed", "guess").alias("kind"), c.alias("c")), "instances")
-    good = instances.where("c > 0").select("entity", "kind", F.col("seed").isNotNull().alias("seed"), F.col("c").alias("confidence"))
-    return found.select("doc_id", "start", "entity").join(good, "entity").select("doc_id", "start", "entity", "kind", "seed", "confidence")
+        instances = cut(instances.select("instance", "seed").join(got, "instance", "left").select("instance", "seed", F.coalesce("seed", "guess").alias("kind"), c.alias("c")), "instances")
+
+
+def identifiers(docs: DataFrame, *, prior: float = 1.0, accept: float = 0.7, least: int = 3, contexts_a_pass: int = 4_000_000) -> DataFrame:
+    """(doc_id, start, entity, kind, seed, confidence): start is the entity's first byte in the text."""
+    spark = docs.sparkSession
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
+    found = cut(texts.mapInArrow(_extract, _SCHEMA), "candidates")
+    graph = cut(_graph(found), "graph")
+    known = None
+    while True:
+        instances, patterns = _scored(graph, prior, accept, least)
+        new = patterns.where("tokens > 0").select("tokens", "context").distinct()
+        new = cut(new if known is None else new.join(known, ["tokens", "context"], "left_anti"), "contexts")
+        n = new.count()
+        if not n:
+            break
+        known = new if known is None else known.union(new)
+        passes = -(-n // contexts_a_pass)
+        for i in range(passes):
+            part = new.where(F.pmod(F.xxhash64("context", F.lit(7)), F.lit(passes)) == i).toPandas()
+            spread = spark.sparkContext.broadcast({int(k): np.sort(x.context.to_numpy()) for k, x in part.groupby("tokens")})
+            found = found.union(cut(texts.mapInArrow(_scan(spread), _SCHEMA), "followers"))
+        graph = cut(_graph(found), "graph")
+    good = instances.where("c > 0").select("instance", "kind", F.col("seed").isNotNull().alias("seed"), F.col("c").alias("confidence"))
+    # what two contexts found is reported once
+    return found.select("doc_id", "start", "entity").distinct().join(good, F.xxhash64("entity") == F.col("instance")).select("doc_id", "start", "entity", "kind", "seed", "confidence")

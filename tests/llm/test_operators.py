@@ -157,47 +157,76 @@ def test_packing(spark, edges):
     assert packing.pack_related(edges).count() > 0 and packing.pack_related(edges.limit(0)).count() == 0
 
 
-def test_neighbours_against_all_pairs(spark):
-    # values that many hold in different sets, so that partners lie far apart in every list
+def test_neighbours_recall_against_all_pairs(spark):
+    # values that many hold in different sets, so that partners lie far apart in every list: harder than texts are
     sk = [sorted({rng.randint(0, 30) for _ in range(rng.randint(0, 6))} | {rng.randint(100, 400) for _ in range(rng.randint(0, 3))}) for _ in range(400)]
     sk += [[1, 2, 3]] * 20 + [[40, 41, 5000 + i] for i in range(90)]
     got = {}
     for r in packing.neighbour_graph(spark.createDataFrame(list(enumerate(sk)), "row long, sketch array<long>"), short=8).collect():
         assert r.weight == len({*sk[r.a]} & {*sk[r.b]}) and r.a != r.b
         got.setdefault(r.a, []).append(r.weight)
+    slots = []
     for i, x in enumerate(sk):
         want = sorted((n for j, y in enumerate(sk) if j != i and (n := len({*x} & {*y}))), reverse=True)[:6]
-        assert sorted(got.get(i, []), reverse=True)[: len(want)] == want
+        have = sorted(got.get(i, []), reverse=True)[: len(want)]
+        slots.append([h >= w for h, w in zip(have, want)] + [False] * (len(want) - len(have)))
+    assert np.mean([b for x in slots for b in x]) > 0.95 and np.mean([x[0] for x in slots if x]) > 0.98
+
+
+def test_neighbours_recall_of_texts(spark):
+    # passages and phrases that many texts hold, on the lists' own terms
+    shared = [prose(rng.randint(3, 30)) for _ in range(25)]
+    texts = [" ".join([prose(rng.randint(0, 40)), *rng.sample(shared, rng.randint(0, 4)), prose(rng.randint(0, 40))]) for _ in range(500)]
+    rows = frame(spark, texts).select("doc_id", "text").mapInArrow(packing._sketch(24, 3), "row long, n long, sketch array<long>".replace("row", "doc_id")).selectExpr("doc_id as row", "sketch")
+    sk = {r.row: set(r.sketch) for r in rows.collect()}
+    got = {}
+    for r in packing.neighbour_graph(rows, short=16).collect():
+        got.setdefault(r.a, []).append(r.weight)
+    found = total = 0
+    for i, x in sk.items():
+        want = sorted((n for j, y in sk.items() if j != i and (n := len(x & y))), reverse=True)[:6]
+        total += sum(want)
+        found += sum(sorted(got.get(i, []), reverse=True)[: len(want)])
+    assert found / total > 0.95
 
 
 def test_walk():
     e = [(1, 2, 5), (2, 3, 1), (2, 4, 3)]
-    assert packing.walk([*e, *((b, a, w) for a, b, w in e)]) == [[1, 2, 4], [3]]
+    a, b, w = (np.array(x) for x in zip(*[*e, *((b, a, w) for a, b, w in e)]))
+    assert packing.walk(np.zeros(6, int), a, b, w) == [[1, 2, 4], [3]]
 
 
-def test_walk_of_large_components(spark):
+def test_paths_over_pieces(spark):
     # a chain in which each text shares half with the next
     parts = [prose(40) for _ in range(41)]
     texts = [a + " " + b for a, b in zip(parts, parts[1:])]
-    got = packing.pack_related(frame(spark, texts), window=10**6, walk_size=8).collect()
-    order = [d for r in got for d in r.doc_ids]
-    assert sorted(order) == list(range(40)) and np.mean([abs(a - b) == 1 for a, b in zip(order, order[1:])]) > 0.9
+    for piece in (4, 10**6):
+        got = packing.pack_related(frame(spark, texts), window=10**6, piece=piece).collect()
+        order = [d for r in got for d in r.doc_ids]
+        assert sorted(order) == list(range(40)) and np.mean([abs(a - b) == 1 for a, b in zip(order, order[1:])]) > 0.9
     e = [(rng.randint(0, 60), rng.randint(0, 60), rng.randint(1, 5)) for _ in range(150)]
     e = list({(min(a, b), max(a, b)): (min(a, b), max(a, b), w) for a, b, w in e if a != b}.values())
-    linked, both = {frozenset(x[:2]) for x in e}, spark.createDataFrame([*e, *((b, a, w) for a, b, w in e)], "a long, b long, weight long")
-    found = []
-    for one_task in (0, 30, 1000):
+    linked, edges = {frozenset(x[:2]) for x in e}, spark.createDataFrame(e, "a long, b long, weight long")
+    rows = sorted({r for x in e for r in x[:2]})
+    chains = {x: i for i, x in enumerate(rows)}
+    alone = spark.createDataFrame([(r, r, 0) for r in chains], "row long, path long, place long")
+
+    def check(table):
         paths = {}
-        for r in packing.joined(both, one_task).collect():
+        for r in table.collect():
             paths.setdefault(r.part, []).append((r.place, r.row))
         assert all(sorted(p for p, _ in x) == list(range(len(x))) for x in paths.values())
         paths = [[r for _, r in sorted(x)] for x in paths.values()]
-        assert sorted(r for p in paths for r in p) == sorted({r for x in e for r in x[:2]})
+        assert sorted(r for p in paths for r in p) == rows
         assert all(frozenset(x) in linked for p in paths for x in zip(p, p[1:]))
         # no edge is left between the ends of two paths
         assert not any(frozenset((x, y)) in linked for p in paths for q in paths if p is not q for x in (p[0], p[-1]) for y in (q[0], q[-1]))
-        found.append({frozenset(x) for p in paths for x in zip(p, p[1:])})
+        return {frozenset(x) for p in paths for x in zip(p, p[1:])}
+
+    found = [check(packing.joined(alone, edges, one_task=n)) for n in (0, 30, 1000)]
     assert found[0] == found[1] == found[2]
+    for piece in (3, 1000):
+        check(packing.paths(edges.union(edges.select("b", "a", "weight")), piece=piece))
 
 
 def test_licenses(spark, edges):
@@ -257,20 +286,50 @@ def test_fingerprints(spark, edges):
 def test_pii(spark, edges):
     cards = ["4111111111111111", "5500005555555559", "4012888888881881", "4111111111111112"]
     texts = [f"{prose(20)} {c} {prose(5)}" for c in cards] + [f'{prose(9)} mail a.b@c.example.org, or +1 (555) 555-0100. token = "{"ab12" * 8}" {prose(4)}', "Version 2.0 of 3", f"{prose(5)} 10.20.30.40### {prose(3)} password=9855ae4fa49702326c"]
+    texts += ["release 1.2.3.4", "order 1234567890123456", f"token = {'ab1' * 140}", '{"to":"x@y.org","cc":["mailto:z@y.org"]}', "1,q@w.com,r@w.com,192.168.0.1", "联系" * 200 + "邮箱k@l.cn谢谢", "call +1 (843) 555-7672 170.106.47.218 now"]
     got = {(r.doc_id, r.entity): (r.kind, r.seed) for r in pii.identifiers(frame(spark, texts)).collect()}
-    assert got[3, cards[3]] == ("card", False) and got[0, cards[0]] == ("card", True)
+    assert got[0, cards[0]] == ("card", True) and (3, cards[3]) not in got and not {k for k in got if k[0] in (7, 8)}
     assert {k[1] for k in got if k[0] == 4} == {"a.b@c.example.org", "+1 (555) 555-0100", "ab12" * 8}
     assert not [k for k in got if k[0] == 5] and {k[1] for k in got if k[0] == 6} == {"10.20.30.40", "9855ae4fa49702326c"}
+    assert [{k[1] for k in got if k[0] == d} for d in range(9, 14)] == [{"ab1" * 140}, {"x@y.org", "z@y.org"}, {"q@w.com", "r@w.com", "192.168.0.1"}, {"k@l.cn"}, {"+1 (843) 555-7672", "170.106.47.218"}]
     assert pii.identifiers(edges).count() == 0 and pii.identifiers(edges.limit(0)).count() == 0
 
 
 def test_pii_contexts(spark):
     # no recogniser knows the odd numbers; the words before or after tell them
-    texts = [f"{prose(9)} call me on +1 555 555 010{i} {prose(5)}" for i in range(4)] + [f"{prose(9)} call me on +44 20 79460 999 {prose(5)}"]
-    texts += [f"{prose(9)} +1 555 555 011{i} belongs to {prose(5)}" for i in range(4)] + [f"{prose(9)} +44 20 79460 998 belongs to {prose(5)}"]
+    texts = [f"{prose(9)} call me on +1 555 555 010{i} {prose(5)}" for i in range(6)] + [f"{prose(9)} call me on +44 20 79460 999 {prose(5)}"]
+    texts += [f"{prose(9)} +1 555 555 011{i} belongs to {prose(5)}" for i in range(6)] + [f"{prose(9)} +44 20 79460 998 belongs to {prose(5)}"]
     texts += [f"{prose(9)} +44 20 79460 997 {prose(5)}"]
+    # nor what has no digits; a context that words follow at will tells nothing
+    texts += [f"{prose(9)} my login is {x} {prose(5)}" for x in (*(f"{c}@b.org" for c in "acegijpq"), "hunterhunter", "Jane Roe")]
+    texts += [f"{prose(9)} ask it of {x} {prose(5)}" for x in (*(f"{c}@d.org" for c in "klmnorst"), *VOCABULARY[:20])]
     got = {(r.doc_id, r.entity, r.kind) for r in pii.identifiers(frame(spark, texts)).where("not seed").collect()}
-    assert {x for x in got if x[1].startswith("+44")} >= {(4, "+44 20 79460 999", "phone"), (9, "+44 20 79460 998", "phone")}
+    assert got == {(6, "+44 20 79460 999", "phone"), (13, "+44 20 79460 998", "phone"), (23, "hunterhunter", "email"), (24, "Jane Roe", "email")}
+
+
+def slow_scores(occurrences, seeds, prior=1.0, accept=0.7, least=3):
+    """The same balance with dictionaries: accepted patterns of (instance, pattern) pairs."""
+    of, has = {}, {}
+    for i, p in occurrences:
+        of.setdefault(p, set()).add(i)
+        has.setdefault(i, set()).add(p)
+    c, taken = {i: float(i in seeds) for i in has}, {}
+    for _ in range(200):
+        score = {p: sum(c[i] for i in x) / (len(x) + prior) for p, x in of.items()}
+        taken = {p: s for p, s in score.items() if s >= accept and len(of[p] & seeds) >= least}
+        c = {i: 1.0 if i in seeds else 1 - np.prod([1 - taken[p] for p in has[i] if p in taken]) for i in has}
+    return set(taken), {i for i, x in c.items() if x > 0}
+
+
+def test_pii_scores_against_brute_force(spark):
+    for _ in range(3):
+        seeds = set(range(40))
+        pairs = {(rng.randint(0, 79), rng.randint(100, 130)) for _ in range(250)} | {(i, 131 + i // 20) for i in range(60)}
+        rows = [(i, p, "card" if i in seeds else None, 0, None) for i, p in pairs]
+        graph = spark.createDataFrame(rows, "instance long, pattern long, seed string, tokens int, context long")
+        instances, patterns = pii._scored(graph, 1.0, 0.7, 3)
+        want = slow_scores(pairs, seeds)
+        assert {r.pattern for r in patterns.collect()} == want[0] and {r.instance for r in instances.where("c > 0").collect()} == want[1]
 
 
 def test_pipeline_stages(spark, tmp_path):
