@@ -11,7 +11,8 @@ paragraph is the set of its word pairs.
   units that collide.
 * Each list links its units to its least and its greatest; exact Jaccard
   verifies; then all pairs of a list that lie in different components are
-  verified too.  So nothing is capped and near copies cost no square.
+  verified too, in lists of more than ``short`` units those that share one of the list's rarer
+  word pairs, as any that pass must.  So nothing is capped and near copies cost no square.
 * Components of units are clusters.  Of a cluster's occurrences the first, by
   doc_id, text and place, stays.  The others lie along it: those of one text that are
   as far from the same first ones, with up to ``bridge`` words between, are a run.
@@ -124,6 +125,28 @@ def _verified(pairs: DataFrame, contents: DataFrame, threshold: float, limit: in
     return cut(j.where(both / F.size(F.array_union("pa", "pb")) >= threshold).select("a", "b"), "verified")
 
 
+def _alike(held: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) of a list of (v, unit, c, p) that lie in different components and pass exact Jaccard."""
+    both = F.size(F.array_intersect("pa", "pb"))
+    j = held.toDF("v", "a", "ca", "pa").join(held.toDF("v", "b", "cb", "pb"), "v").where("a < b and ca <> cb")
+    return j.where(both / F.size(F.array_union("pa", "pb")) >= threshold).select("a", "b")
+
+
+def _rarest(held: DataFrame, threshold: float) -> DataFrame:
+    """The same pairs of long lists: units that pass must share one of each other's rarest word pairs in the list (prefix filter)."""
+    e = held.select("v", "unit", "c", F.array_distinct("p").alias("p")).select("v", "unit", "c", F.size("p").alias("s"), F.explode("p").alias("e"))
+    e = e.withColumn("df", F.count("*").over(Window.partitionBy("v", "e")))
+    e = e.withColumn("r", F.row_number().over(Window.partitionBy("v", "unit").orderBy("df", "e")))
+    e = e.where((F.col("r") <= F.col("s") - F.ceil(threshold * F.col("s") - 1e-9) + 1) & (F.col("df") > 1))
+    by = Window.partitionBy("v", "e")
+    e = e.withColumn("l", F.min("c").over(by)).withColumn("h", F.max("c").over(by)).where("l < h").select("v", "e", "unit", "c")
+    e = cut(e, "rarest")
+    pairs = e.toDF("v", "e", "a", "ca").join(e.toDF("v", "e", "b", "cb"), ["v", "e"]).where("a < b and ca <> cb").select("a", "b").distinct()
+    p = cut(held.groupBy("unit").agg(F.first("p").alias("p")), "pairs")
+    j = pairs.join(p.toDF("a", "pa"), "a").join(p.toDF("b", "pb"), "b")
+    return j.where(F.size(F.array_intersect("pa", "pb")) / F.size(F.array_union("pa", "pb")) >= threshold).select("a", "b")
+
+
 def _contexts(along: int):
     """Of (doc_id, t, text, before, after): 16 bits of each of the words before and after the places, away from them."""
 
@@ -209,7 +232,7 @@ def _spans(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordB
             yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array(s, pa.int64()), pa.array(e, pa.int64()), pa.array(keep)], ["doc_id", "t", "start_word", "end_word", "keep"])
 
 
-def _repeats(docs: DataFrame, *, size: int = 16, reach: int = 6, threshold: float = 0.75, recall: float = 0.95, bridge: int = 32, along: int = 48, min_words: int = 40, broadcast_limit: int = 64 << 20) -> DataFrame:
+def _repeats(docs: DataFrame, *, size: int = 16, reach: int = 6, threshold: float = 0.75, recall: float = 0.95, bridge: int = 32, along: int = 48, min_words: int = 40, short: int = 16, broadcast_limit: int = 64 << 20) -> DataFrame:
     """(doc_id, t, start_word, end_word, keep): spans, with the hash of the text in which they are."""
     d = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("t"))
     bands = tune(threshold, recall)
@@ -230,9 +253,10 @@ def _repeats(docs: DataFrame, *, size: int = 16, reach: int = 6, threshold: floa
     few = maybe_broadcast(ids, ids.count(), 16, broadcast_limit)
     held = lab.join(contents.join(few, "unit", "left_semi").groupBy("unit").agg(F.first("pairs").alias("p")), "unit").select("v", "unit", "c", "p")
     held = cut(held, "held")
-    both = F.size(F.array_intersect("pa", "pb"))
-    j = held.toDF("v", "a", "ca", "pa").join(held.toDF("v", "b", "cb", "pb"), "v").where("a < b and ca <> cb")
-    second = cut(j.where(both / F.size(F.array_union("pa", "pb")) >= threshold).select("a", "b").distinct(), "verified")
+    lengths = cut(held.groupBy("v").agg(F.count("*").alias("n")).where(F.col("n") > short), "long")
+    big = maybe_broadcast(lengths.select("v"), lengths.count(), 16, broadcast_limit)
+    second = _alike(held.join(big, "v", "left_anti"), threshold).union(_rarest(held.join(big, "v", "left_semi"), threshold))
+    second = cut(second.distinct(), "verified")
     if not second.isEmpty():
         comp = cut(components(first.union(second)), "components")
 
