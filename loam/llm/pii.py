@@ -18,10 +18,11 @@ until no further pattern is accepted and the mean confidence stands still to a h
 Instances are found in two ways.  Runs of letters, digits and the signs of identifiers that have a
 digit or an at sign are candidates at once; they end at any other sign and where ASCII ends, so
 identifiers in CSV, JSON, URLs or Chinese text are found too, and may be of any length.
-Numbers that are written in groups are searched as a whole.  Then every text is scanned
-for the accepted contexts themselves, and what follows them without a digit, a word or
-some capitalised ones, is an instance as well: it may be reported, or take a context's confidence
-away if words follow it at will.  That ends when no context is new.
+Numbers that are written in groups are searched as a whole.  Two or three tokens before an entity,
+whatever it looks like, are first held against all texts: the distinct words without digits that follow
+them count as instances without confidence, so a context that words follow at will is none.
+What follows a context that stands the test, a word or some capitalised ones, is an instance
+from then on.  That ends when no context is new.
 
 What accepted patterns match is reported, recognised by a seed or not.  Only candidates are
 shuffled.  Patterns and instances stay tables of any size, known by 64-bit hashes; contexts
@@ -188,26 +189,51 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield _rows(b.column(0), offs, K.words(data, offs, K.CLASSES), found)
 
 
-def following(data: np.ndarray, offs: np.ndarray, w: K.Words, contexts: dict[int, np.ndarray]) -> list[tuple[int, int, int, str]]:
-    """(text, first byte, end, entity) of the words without digits that follow the contexts, hashes by their number of tokens."""
-    at = [np.flatnonzero(ok & np.isin(K.signed(h), c)) + n for n, c in contexts.items() for h, ok in [w.ngrams(n)]]
-    at = np.unique(np.concatenate(at)) if at else np.zeros(0, np.int64)
-    at = at[at < len(w.hashes)]
-    text = np.searchsorted(w.offsets, at, "right") - 1
-    # in the text of the context
-    same = (at > w.offsets[text]) & (K.CLASSES[data[w.starts[at]]] == 1)
-    at, text = at[same], text[same]
+def _after(data: np.ndarray, offs: np.ndarray, w: K.Words, contexts: dict[int, np.ndarray]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(tokens, which context, text, token) of the words without digits that follow the contexts, sorted hashes by their number of tokens."""
+    flags = np.concatenate([[0], np.cumsum(_FLAG[data])])
     stops = np.concatenate([np.flatnonzero(~_ID[data]), [len(data)]])
-    raw, out = data.tobytes(), []
-    for t, a in zip(text.tolist(), w.starts[at].tolist()):
-        b = min(int(stops[np.searchsorted(stops, a)]), int(offs[t + 1]))
-        entity = raw[a:b].decode().rstrip("_.%@+-")
-        if not entity or any(c.isdigit() or c == "@" for c in entity):
-            continue
-        m = _NAME.match(raw, a, int(offs[t + 1]))
-        entity = max(entity, m[0].decode(), key=len) if m else entity
-        out.append((t, a, a + len(entity), entity))
-    return out
+    for n, known in contexts.items():
+        h, ok = w.ngrams(n)
+        h = K.signed(h)
+        which = np.minimum(np.searchsorted(known, h), len(known) - 1)
+        at = np.flatnonzero(ok & (known[which] == h))
+        which, at = which[at], at + n
+        which, at = which[at < len(w.hashes)], at[at < len(w.hashes)]
+        text = np.searchsorted(w.offsets, at, "right") - 1
+        # in the text of the context, and no candidate
+        a = w.starts[at]
+        end = np.minimum(stops[np.searchsorted(stops, a)], offs[text + 1])
+        good = (at > w.offsets[text]) & (K.CLASSES[data[a]] == 1) & (data[a] < 0x80) & (flags[end] == flags[a])
+        yield n, which[good], text[good], at[good]
+
+
+def _counts(spread):
+    """Per task: the contexts (tokens, context) with the words that follow each, null if they are too many."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        contexts, most = spread.value
+        seen: dict[int, dict[int, set | None]] = {n: {} for n in contexts}
+        for b in batches:
+            for _, _, data, offs in K.chunks(b.column(1)):
+                w = K.words(data, offs, K.CLASSES)
+                for n, which, _, at in _after(data, offs, w, contexts):
+                    mine = seen[n]
+                    over = np.zeros(len(contexts[n]), bool)
+                    over[[i for i, x in mine.items() if x is None]] = True
+                    open_ = ~over[which]
+                    pairs = np.unique(np.stack([which[open_], K.signed(w.hashes[at[open_]])], 1), axis=0)
+                    for i, x in pairs.tolist():
+                        some = mine.setdefault(i, set())
+                        if some is not None:
+                            some.add(x)
+                            if len(some) > most[n][i]:
+                                mine[i] = None
+        rows = [(n, int(contexts[n][i]), y) for n, mine in seen.items() for i, x in mine.items() for y in ([None] if x is None else x)]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.int64()))], ["tokens", "context", "word"])
+
+    return run
 
 
 def _scan(spread):
@@ -215,9 +241,16 @@ def _scan(spread):
         for b in batches:
             for row, _, data, offs in K.chunks(b.column(1)):
                 w = K.words(data, offs, K.CLASSES)
-                found = [(t, row + t, a, e, x, None) for t, a, e, x in following(data, offs, w, spread.value)]
+                found, raw = {}, None
+                for _, _, text, at in _after(data, offs, w, spread.value[0]):
+                    raw = data.tobytes() if raw is None else raw
+                    for t, a, e in zip(text.tolist(), w.starts[at].tolist(), w.ends[at].tolist()):
+                        # capitalised words are one name
+                        m = _NAME.match(raw, a, int(offs[t + 1]))
+                        entity = max(raw[a:e].decode(errors="replace"), m[0].decode() if m else "", key=len)
+                        found[a] = t, row + t, a, a + len(entity.encode()), entity, None
                 if found:
-                    yield _rows(b.column(0), offs, w, found)
+                    yield _rows(b.column(0), offs, w, list(found.values()))
 
     return run
 
@@ -234,18 +267,18 @@ def _graph(found: DataFrame) -> DataFrame:
     return rows.groupBy("instance", "p.pattern").agg(F.max("seed").alias("seed"), F.first("p.tokens").alias("tokens"), F.first("p.context").alias("context"))
 
 
-def _scored(graph: DataFrame, prior: float, accept: float, least: int) -> tuple[DataFrame, DataFrame]:
-    """Instances (instance, seed, kind, c) and accepted patterns (pattern, p, guess, tokens, context), in balance."""
+def _scored(graph: DataFrame, prior: float, accept: float, least: int) -> DataFrame:
+    """Instances (instance, seed, kind, c) in balance with the patterns."""
     seeds = graph.groupBy("instance").agg(F.max("seed").alias("seed"))
     instances = cut(seeds.select("instance", "seed", F.col("seed").alias("kind"), F.when(F.col("seed").isNotNull(), 1.0).otherwise(0.0).alias("c")), "instances")
-    links = graph.select("instance", "pattern", "tokens", "context")
+    links = cut(graph.select("instance", "pattern"), "links")
     mark = None
     while True:
-        p = links.join(instances, "instance").groupBy("pattern").agg((F.sum("c") / (F.count("*") + prior)).alias("p"), F.count("seed").alias("seeds"), F.mode("kind").alias("guess"), F.first("tokens").alias("tokens"), F.first("context").alias("context"))
+        p = links.join(instances, "instance").groupBy("pattern").agg((F.sum("c") / (F.count("*") + prior)).alias("p"), F.count("seed").alias("seeds"), F.mode("kind").alias("guess"))
         patterns = cut(p.where((F.col("p") >= accept) & (F.col("seeds") >= least)), "patterns")
         now = tuple(patterns.agg(F.count("*"), F.round(F.avg("p"), 2)).first())
         if now == mark:
-            return instances, patterns
+            return instances
         mark = now
         none_of = F.exp(F.sum(F.log(F.greatest(1 - F.col("p"), F.lit(1e-9)))))
         got = links.join(patterns.select("pattern", "p", "guess"), "pattern").groupBy("instance").agg((1 - none_of).alias("q"), F.max_by("guess", F.struct("p", "guess")).alias("guess"))
@@ -255,25 +288,41 @@ def _scored(graph: DataFrame, prior: float, accept: float, least: int) -> tuple[
 
 def identifiers(docs: DataFrame, *, prior: float = 1.0, accept: float = 0.7, least: int = 3, contexts_a_pass: int = 4_000_000) -> DataFrame:
     """(doc_id, start, entity, kind, seed, confidence): start is the entity's first byte in the text."""
-    spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
     found = cut(texts.mapInArrow(_extract, _SCHEMA), "candidates")
     graph = cut(_graph(found), "graph")
-    known = None
+    tested = proven = docs.sparkSession.createDataFrame([], "tokens int, context long")
+
+    def over(contexts: DataFrame, function, schema: str) -> DataFrame:
+        """The function's rows over the texts, with contexts (tokens, context, most) in as many passes as they take."""
+        passes, out = max(1, -(-contexts.count() // contexts_a_pass)), None
+        for i in range(passes):
+            part = contexts.where(F.pmod(F.xxhash64("context", F.lit(7)), F.lit(passes)) == i).orderBy("context").toPandas()
+            by = {int(n): x for n, x in part.groupby("tokens")}
+            spread = docs.sparkSession.sparkContext.broadcast(({n: x.context.to_numpy() for n, x in by.items()}, {n: x.most.tolist() for n, x in by.items()}))
+            rows = texts.mapInArrow(function(spread), schema)
+            out = rows if out is None else out.union(rows)
+        return out
+
     while True:
-        instances, patterns = _scored(graph, prior, accept, least)
-        new = patterns.where("tokens > 0").select("tokens", "context").distinct()
-        new = cut(new if known is None else new.join(known, ["tokens", "context"], "left_anti"), "contexts")
-        n = new.count()
-        if not n:
+        alone = graph.where("tokens = 0").unionByName(graph.where("tokens > 0").join(proven, ["tokens", "context"], "left_semi").select(*graph.columns))
+        instances = _scored(alone, prior, accept, least)
+        # contexts that would be accepted by the candidates alone, and how many other words may follow them
+        p = graph.where("tokens > 0").join(instances.select("instance", "c"), "instance").groupBy("tokens", "context").agg(F.sum("c").alias("s"), F.count("*").alias("n"), F.count("seed").alias("seeds"))
+        most = F.floor(F.col("s") / accept - prior - F.col("n") + 1e-9)
+        new = p.where(F.col("seeds") >= least).withColumn("most", most).where("most >= 0").select("tokens", "context", "most")
+        new = cut(new.join(tested, ["tokens", "context"], "left_anti"), "contexts")
+        if new.isEmpty():
             break
-        known = new if known is None else known.union(new)
-        passes = -(-n // contexts_a_pass)
-        for i in range(passes):
-            part = new.where(F.pmod(F.xxhash64("context", F.lit(7)), F.lit(passes)) == i).toPandas()
-            spread = spark.sparkContext.broadcast({int(k): np.sort(x.context.to_numpy()) for k, x in part.groupby("tokens")})
-            found = found.union(cut(texts.mapInArrow(_scan(spread), _SCHEMA), "followers"))
-        graph = cut(_graph(found), "graph")
-    good = instances.where("c > 0").select("instance", "kind", F.col("seed").isNotNull().alias("seed"), F.col("c").alias("confidence"))
+        tested = tested.union(new.select("tokens", "context"))
+        words = over(new, _counts, "tokens int, context long, word long").groupBy("tokens", "context").agg(F.count_distinct("word").alias("words"), (F.count("*") > F.count("word")).alias("many"))
+        good = cut(new.join(words, ["tokens", "context"], "left").where("not coalesce(many, false) and coalesce(words, 0) <= most").select("tokens", "context", "most", F.coalesce("words", F.lit(0)).alias("words")), "proven")
+        if good.isEmpty():
+            break
+        proven = proven.union(good.select("tokens", "context"))
+        if not good.where("words > 0").isEmpty():
+            found = found.union(cut(over(good.where("words > 0"), _scan, _SCHEMA), "followers"))
+            graph = cut(_graph(found), "graph")
+    best = instances.where("c > 0").select("instance", "kind", F.col("seed").isNotNull().alias("seed"), F.col("c").alias("confidence"))
     # what two contexts found is reported once
-    return found.select("doc_id", "start", "entity").distinct().join(good, F.xxhash64("entity") == F.col("instance")).select("doc_id", "start", "entity", "kind", "seed", "confidence")
+    return found.select("doc_id", "start", "entity").distinct().join(best, F.xxhash64("entity") == F.col("instance")).select("doc_id", "start", "entity", "kind", "seed", "confidence")
