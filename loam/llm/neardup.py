@@ -22,8 +22,9 @@ standard deviations at the threshold.
 Nulls: a null doc_id or text, or a text without words, is never a duplicate.
 Rows of one doc_id count as one document with several texts.  Groups are
 connected components; the least doc_id of each stays.  Empty tables give empty
-results.  Only doc_id and text are read; ``drop_near_duplicates`` passes on all
-columns.
+results.  A text of any length is one set, which a task holds whole.  doc_ids are
+integers or can be cast to them.  Only doc_id and text are read; ``drop_near_duplicates``
+passes on all columns, of whatever names.
 """
 
 from __future__ import annotations
@@ -113,7 +114,8 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.5, k: int = 32, shi
 
     # rarest values of each sketch, of those that another document retains too
     s = F.size("sketch")
-    need = F.when(s < k, F.ceil(threshold * s - 1e-9)).otherwise(F.ceil((threshold - slack) * s - 1e-9))
+    # a partner of a set held whole may be larger than a sketch, so both go by the estimate's bound
+    need = F.ceil((threshold - slack) * s - 1e-9)
     rows = sk.select("doc_id", (s - F.greatest(need, F.lit(1)) + 1).alias("p"), s.alias("s"), F.explode("sketch").alias("v"))
     rows = rows.withColumn("df", F.count("*").over(Window.partitionBy("v"))).where("df > 1")
     mine = Window.partitionBy("doc_id")
