@@ -20,12 +20,16 @@ No pass joins or shuffles texts.  To the driver come 2**14 counts and matrices
 of 160 x 2**14 and 160 x 160, whatever the input.  Items are held by every task, ``per_pass``
 at most at a time; more items take more passes.
 
-A document leaks an item if the common subsequence covers ``coverage`` of the
-item, or ``partial`` of it and ``answer`` of its answer, its last quarter.
+A document leaks an item if the common subsequence covers ``Rules.coverage`` of the
+item, or ``Rules.partial`` of it and another one ``Rules.answer`` of its answer: what the benchmark's
+column named by the parameter ``answer`` holds, or where there is none the item's last quarter.
+The driver reads ``per_pass`` items at a time and holds no more.
 
 Nulls: null and empty texts have no passages and leak nothing; null or empty
 items are left out; null ids come out as null.  A text shorter than a window is
-one passage.  Repeated rows each give their rows; repeated items are each
+one passage; long ones are cut into as many as they fill, and a task holds one text.  Ids are
+integers or can be cast to them; ``leaks`` reads no other columns, ``drop_leaks`` passes on all,
+of whatever names.  Repeated rows each give their rows; repeated items are each
 reported.  Empty tables give empty results.  Of several places of one item in
 a document that of the largest coverage is reported, the first of equal ones.
 """
@@ -37,7 +41,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -113,21 +116,25 @@ def _frequencies(half: int) -> Callable:
 
 
 def _sketch(idf: np.ndarray, half: int) -> Callable:
-    """Rows of S A: every passage is added to one of SKETCH rows, by a random sign (Clarkson and Woodruff 2013)."""
+    """Rows of S A: every passage is added to one of SKETCH rows, by a random sign (Clarkson and Woodruff 2013).
+
+    Row and sign are a hash of the document's id and the passage's place, whatever the partitions are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rng = np.random.default_rng(TaskContext.get().partitionId())
         z = np.zeros(SKETCH * D, np.float32)
         for b in batches:
-            for _, _, data, offs in K.chunks(b.column(0)):
+            ids = b.column(1).to_numpy().view(K.U64)
+            for lo, hi, data, offs in K.chunks(b.column(0)):
                 w = K.words(data, offs)
                 starts, last = _blocks(w.offsets, half)
                 if not len(starts):
                     continue
                 f = (w.hashes & K.U64(D - 1)).astype(np.int64)
                 size = np.diff(np.append(starts, len(f)))
-                row = rng.integers(0, SKETCH, len(starts)) * D
-                sign = rng.choice(np.array([-1, 1], np.float32), len(starts)) * _passages(last)
+                text = np.searchsorted(w.offsets, starts, "right") - 1
+                random = K.mix(K.mix(ids[lo:hi][text]) + (starts - w.offsets[text]).astype(K.U64))
+                row = (random % K.U64(SKETCH)).astype(np.int64) * D
+                sign = np.where(random >> K.U64(63), np.float32(-1), np.float32(1)) * _passages(last)
                 value = idf[f]
                 np.add.at(z, f + np.repeat(row, size), value * np.repeat(sign, size))
                 before = np.flatnonzero(~last)  # a block is also in the passage of the one before
@@ -205,18 +212,18 @@ class Items:
 
     def __init__(self, items: list[tuple], embed: np.ndarray):
         self.ids, self.masks, vectors = [], [], []
-        for i, text in items:
-            h = K.hash_words(text)
+        for i, text, reply in items:
+            h, a = K.hash_words(text), K.hash_words(reply)
             if not len(h):
                 continue
-            tail = max(1, len(h) // 4)
+            a = a if len(a) else h[-max(1, len(h) // 4) :]
             whole, answer = {}, {}
             for p, x in enumerate(h.tolist()):
                 whole[x] = whole.get(x, 0) | 1 << p
-            for p, x in enumerate(h[-tail:].tolist()):
+            for p, x in enumerate(a.tolist()):
                 answer[x] = answer.get(x, 0) | 1 << p
             self.ids.append(i)
-            self.masks.append((len(h), whole, tail, answer))
+            self.masks.append((len(h), whole, len(a), answer))
             vectors.append(embed[(h & K.U64(D - 1)).astype(np.int64)].sum(0))
         v = np.array(vectors, np.float32).reshape(-1, embed.shape[1])
         self.vectors = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
@@ -263,7 +270,9 @@ def _matches(text: pa.Array, items: Items, embed: np.ndarray, rules: Rules) -> I
             share = lcs(words, m, whole) / m
             if share < min(rules.partial, rules.coverage):
                 continue
-            end = lcs(words, tail, answer) / tail
+            # an answer stands within its own length of the item
+            far = max(0, tail - m)
+            end = lcs(w.hashes[max(int(w.offsets[d]), lo - far) : min(int(w.offsets[d + 1]), hi + far)].tolist() if far else words, tail, answer) / tail
             if (share >= rules.coverage or (share >= rules.partial and end >= rules.answer)) and share > best.get((d, i), (0, 0))[1]:
                 at = int(w.offsets[d])
                 best[d, i] = float(cos[b, i] / size[b]), share, end, lo - at, hi - at
@@ -273,7 +282,7 @@ def _matches(text: pa.Array, items: Items, embed: np.ndarray, rules: Rules) -> I
 
 def _space(docs: DataFrame, rules: Rules) -> np.ndarray:
     """Latent vectors of the hashed words: idf times right singular vectors over singular values."""
-    texts = docs.select("text").where("text is not null")
+    texts = docs.select("text", F.xxhash64("doc_id").alias("id")).where("text is not null")
     half = rules.window // 2
     df = np.zeros(D + 1)
     for w, n in texts.mapInArrow(_frequencies(half), "w long, n long").groupBy("w").agg(F.sum("n")).collect():
@@ -284,15 +293,23 @@ def _space(docs: DataFrame, rules: Rules) -> np.ndarray:
     return np.ascontiguousarray(np.vstack([idf[:, None] * vectors * scale, np.zeros((1, RANK))]), np.float32)
 
 
-def _tiles(docs: DataFrame, benchmark: DataFrame, rules: Rules, per_pass: int) -> Iterator:
+def _tiles(docs: DataFrame, benchmark: DataFrame, rules: Rules, per_pass: int, answer: str | None) -> Iterator:
     spark: SparkSession = docs.sparkSession
-    rows = [(r[0], r[1]) for r in benchmark.select("item_id", "text").where("text is not null").toLocalIterator()]
-    embed = _space(docs, rules) if rows else np.zeros((D + 1, RANK), np.float32)
-    for lo in range(0, max(len(rows), 1), per_pass):
-        yield spark.sparkContext.broadcast((Items(rows[lo : lo + per_pass], embed), embed))
-
-
-def leaks(docs: DataFrame, benchmark: DataFrame, *, rules: Rules = Rules(), per_pass: int = 20_000) -> DataFrame:
+    reply = F.lit(None).cast("string") if answer is None else col(answer)
+    rows = benchmark.where("text is not null").select("item_id", "text", reply.alias("answer")).toLocalIterator()
+    embed, tile = None, []
+    for r in rows:
+        tile.append(tuple(r))
+        if len(tile) == per_pass:
+            embed = _space(docs, rules) if embed is None else embed
+            yield spark.sparkContext.broadcast((Items(tile, embed), embed))
+            tile = []
+    if tile or embed is None:
+        embed = embed if embed is not None else _space(docs, rules) if tile else np.zeros((D + 1, RANK), np.float32)
+        yield spark.sparkContext.broadcast((Items(tile, embed), embed))
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, *, rules: Rules = Rules(), per_pass: int = 20_000, answer: str | None = None) -> DataFrame:
     """(doc_id, item_id, cosine, coverage, answer, first_word, end_word) of each document and item that it leaks."""
 
     def search(spread) -> Callable:
@@ -312,7 +329,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, rules: Rules = Rules(), per_
     schema = "doc_id long, item_id long, cosine double, coverage double, answer double, first_word long, end_word long"
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
     out = None
-    for spread in _tiles(docs, benchmark, rules, per_pass):
+    for spread in _tiles(docs, benchmark, rules, per_pass, answer):
         part = d.mapInArrow(search(spread), schema)
         out = part if out is None else out.union(part)
     return out
@@ -330,10 +347,10 @@ def _clean(spread, rules: Rules):
     return clean
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, *, rules: Rules = Rules(), per_pass: int = 20_000) -> DataFrame:
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, *, rules: Rules = Rules(), per_pass: int = 20_000, answer: str | None = None) -> DataFrame:
     """The rows of docs, all columns, whose text leaks no item; decided row by row, so nothing is joined."""
     (key,) = fresh(docs, "leaks")
     out = docs
-    for spread in _tiles(docs, benchmark, rules, per_pass):
+    for spread in _tiles(docs, benchmark, rules, per_pass, answer):
         out = out.withColumn(key, _clean(spread, rules)(col("text"))).where(col(key)).drop(key)
     return out
