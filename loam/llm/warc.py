@@ -5,11 +5,16 @@ The reader cuts files into byte ranges, one task each.  A task scans its range
 for the gzip magic, tries each candidate by inflating its first bytes and
 looking for a WARC header, and from the first true one on reads member by
 member; it owns the records that start in its range, and reads the last of
-them beyond the range's end.  So every record is read once, by one task,
-whatever the ranges are, and a file of any size is read by many.
+them beyond the range's end.
 
 Magic bytes that occur inside compressed data fail to inflate to a header; where
-a member is damaged the task scans on for the next.
+a member is damaged the task scans on for the next.  A record may itself hold an archive, stored
+as it is, whose members look like any other.  So where a file has several ranges they are
+walked once before: each says where its first record starts and where the one after its
+last; the driver holds each range against the one before it, and those that began with a nested
+record are walked again from where the records in fact go on.  So every record
+is read once, by one task, and what is read is the same for all ranges as for the
+file as one.
 
 Files are opened by pyarrow.fs from the workers, so any file system that it
 knows will do, and only bytes that a task needs are read.  Paths and sizes are
@@ -20,7 +25,9 @@ task attempt, and returns their paths: those of lost attempts aren't listed.
 
 Nulls: null urls, ids or bodies are written as empty ones; a record without the
 headers asked for gives null.  Empty files and tables give no records.  Bodies
-may be empty or very long, repeated rows give repeated records.
+may be empty or very long; a task holds one record at a time, and a batch of 16 MB or one record.
+Repeated rows give repeated records.  Extra columns of any name aren't read; page ids are
+integers or can be cast to them.
 """
 
 from __future__ import annotations
@@ -39,6 +46,7 @@ from ._spark import col, cut, shared_path
 
 MAGIC = b"\x1f\x8b\x08"
 _STEP = 1 << 20
+_RANGE = "path string, start long, `end` long, size long, entry long"
 SCHEMA = "path string, offset long, type string, uri string, record_id string, date string, content_type string, payload binary"
 
 
@@ -96,8 +104,10 @@ def payload(fields: dict[str, str], block: bytes) -> tuple[str | None, bytes]:
     return fields.get("content-type"), block
 
 
-def read_range(path: str, start: int, end: int, size: int) -> Iterator[tuple[int, bytes]]:
-    """(offset, record) of the records that start in [start, end)."""
+def read_range(path: str, start: int, end: int, size: int, entry: int | None = None) -> Iterator[tuple[int, bytes | None]]:
+    """(offset, record) of the records that start in [start, end); last, without a record, where the next one starts, or -1 if that isn't known.
+
+    entry is where a record is known to start, if that is known; else it is looked for from start on."""
     where, at = _open(path)
     with where.open_input_file(at) as f:
 
@@ -105,30 +115,75 @@ def read_range(path: str, start: int, end: int, size: int) -> Iterator[tuple[int
             f.seek(pos)
             return f.read(n)
 
-        pos = start
+        pos, known = (start, False) if entry is None else (entry, True)
         while pos < end:
-            # the next candidate in the range
-            data, found = read(pos, min(_STEP, end + 2 - pos, size - pos)), -1
-            i = data.find(MAGIC)
-            while i >= 0 and pos + i < end:
-                if is_record(read(pos + i, 4096)):
-                    found = pos + i
-                    break
-                i = data.find(MAGIC, i + 1)
-            if found < 0:
-                if not data or pos + len(data) >= min(end + 2, size):
-                    return
-                pos += max(1, len(data) - 2)
-                continue
+            if not known:
+                # the next candidate in the range
+                data, found = read(pos, min(_STEP, end + 2 - pos, size - pos)), -1
+                i = data.find(MAGIC)
+                while i >= 0 and pos + i < end:
+                    if is_record(read(pos + i, 4096)):
+                        found = pos + i
+                        break
+                    i = data.find(MAGIC, i + 1)
+                if found < 0:
+                    if not data or pos + len(data) >= min(end + 2, size):
+                        pos = end
+                    else:
+                        pos += max(1, len(data) - 2)
+                    continue
+                pos = found
             # from a record on, members follow each other
-            pos = found
-            while pos < end:
-                member = _member(read, pos, size)
-                if member is None or not member[0].startswith(b"WARC/"):
-                    pos += 1
-                    break
+            member = _member(read, pos, size)
+            known = member is not None and member[0].startswith(b"WARC/")
+            if known:
                 yield pos, member[0]
                 pos = member[1]
+            else:
+                pos += 1
+        yield (pos if known else -1), None
+
+
+def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path, start, first, next) of ranges: where the first of their records starts, and the next after their last."""
+    for b in batches:
+        for r in b.to_pylist():
+            first, after = None, -1
+            for offset, record in read_range(r["path"], r["start"], r["end"], r["size"], r["entry"]):
+                if record is None:
+                    after = offset
+                elif first is None:
+                    first = offset
+            yield pa.RecordBatch.from_arrays([pa.array([r["path"]]), pa.array([r["start"]]), pa.array([-1 if first is None else first]), pa.array([after])], ["path", "start", "first", "next"])
+
+
+def _entries(spark: SparkSession, ranges: list[tuple[str, int, int, int]]) -> list[tuple[str, int, int, int, int | None]]:
+    """The ranges, in order, with where their first record starts; None where it is to be looked for."""
+    several = {r[0] for r in ranges if r[1]}
+    ask, said, entry = {(p, lo): None for p, lo, _, _ in ranges if p in several}, {}, {}
+    while ask:
+        todo = [(p, lo, hi, n, ask[p, lo]) for p, lo, hi, n in ranges if (p, lo) in ask]
+        walked = spark.createDataFrame(todo, _RANGE).repartition(len(todo)).mapInArrow(_walk, "path string, start long, first long, next long")
+        said |= {(p, lo): (ask[p, lo], first, after) for p, lo, first, after in walked.collect()}
+        ask, at = {}, {}
+        for p, lo, hi, _ in ranges:
+            if p not in several:
+                continue
+            # None: unknown from here on; -1: to be looked for
+            want = at.get(p) if lo else -1
+            if want is None:
+                continue
+            if want >= hi:
+                entry[p, lo] = want
+                continue
+            was, first, after = said[p, lo]
+            if want < 0 and was is None or want >= 0 and (was == want or first == want):
+                entry[p, lo] = None if want < 0 else want
+                at[p] = after
+            else:
+                ask[p, lo] = None if want < 0 else want
+                at[p] = None
+    return [(*r, entry.get(r[:2])) for r in ranges]
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +196,9 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for r in b.to_pylist():
             rows, held = [], 0
-            for offset, record in read_range(r["path"], r["start"], r["end"], r["size"]):
+            for offset, record in read_range(r["path"], r["start"], r["end"], r["size"], r["entry"]):
+                if record is None:
+                    break
                 fields, block = parse(record)
                 kind, body = payload(fields, block)
                 rows.append((r["path"], offset, fields.get("warc-type"), fields.get("warc-target-uri"), fields.get("warc-record-id"), fields.get("warc-date"), kind, body))
@@ -157,14 +214,18 @@ def read_warc(spark: SparkSession, paths: list[str], *, split_bytes: int | None
     """The records of the files, as SCHEMA; split_bytes is ``spark.sql.files.maxPartitionBytes`` if not given."""
     if split_bytes is None:
         split_bytes = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
-    ranges = []
-    for path in paths:
+    systems: list[tuple] = []
+    for path in dict.fromkeys(paths):
         where, at = _open(path)
-        size = where.get_file_info(at).size
-        ranges += [(path, lo, min(lo + split_bytes, size), size) for lo in range(0, size or 0, split_bytes)]
+        some = next((x for w, x in systems if w == where), None)
+        if some is None:
+            systems.append((where, some := []))
+        some.append((path, at))
+    sizes = {p: i.size for where, some in systems for (p, _), i in zip(some, where.get_file_info([at for _, at in some]))}
+    ranges = [(path, lo, min(lo + split_bytes, sizes[path]), sizes[path]) for path in paths for lo in range(0, sizes[path] or 0, split_bytes)]
     if not ranges:
         return spark.createDataFrame([], SCHEMA)
-    tasks = spark.createDataFrame(ranges, "path string, start long, `end` long, size long")
+    tasks = spark.createDataFrame(_entries(spark, ranges), _RANGE)
     return tasks.repartitionByRange(len(ranges), "path", "start").mapInArrow(_read, SCHEMA)
 
 

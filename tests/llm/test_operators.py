@@ -253,6 +253,29 @@ def test_warc_ranges(spark, tmp_path):
         assert warc.read_warc(spark, [path], split_bytes=split).count() == len(bodies)
 
 
+@pytest.mark.parametrize("level", [0, 6, 9])
+def test_warc_nested_archives(spark, tmp_path, level):
+    noise = lambda n: bytes(rng.randrange(256) for _ in range(n))
+    inner = [noise(20_000) + b"".join(gzip.compress(warc.record(f"http://in/{i}/{j}", f"in{i}-{j}", noise(900)), level) for j in range(20)) + noise(3_000) for i in range(5)]
+    path = str(tmp_path / "n.warc.gz")
+    with open(path, "wb") as f:
+        for i, b in enumerate(inner):
+            f.write(gzip.compress(warc.record(f"http://h/{i}", str(i), b), level))
+    for split in (1 << 30, 50_000, 7_000, 1_000):
+        got = [(r.record_id, bytes(r.payload)) for r in warc.read_warc(spark, [path], split_bytes=split).orderBy("offset").collect()]
+        assert got == [(str(i), b) for i, b in enumerate(inner)]
+
+
+def test_warc_damage_is_read_alike(spark, tmp_path):
+    raw = [gzip.compress(warc.record(f"http://h/{i}", str(i), bytes(rng.randrange(256) for _ in range(2_000)))) for i in range(30)]
+    raw[7], raw[19] = raw[7][:900] + b"\0" * 300 + raw[7][1200:], raw[19][:500]
+    path = str(tmp_path / "d.warc.gz")
+    with open(path, "wb") as f:
+        f.write(b"".join(raw))
+    got = [sorted(r.record_id for r in warc.read_warc(spark, [path], split_bytes=n).collect()) for n in (1 << 30, 9_000, 1_100)]
+    assert got[0] == got[1] == got[2] == sorted(str(i) for i in range(30) if i not in (7, 19))
+
+
 def test_warc_pages(spark):
     pages = spark.createDataFrame([(1, "http://a", "<p>é</p>"), (1, "http://a", "<p>é</p>"), (2, None, None), (None, "http://b", "")], "page_id long, url string, html string").withColumn("path", F.lit("x"))
     got = sorted(((r.page_id or 0), r.url, r.n_chars) for r in warc.pages_by_warc(pages).collect())
@@ -318,7 +341,7 @@ def slow_scores(occurrences, seeds, prior=1.0, accept=0.7, least=3):
         score = {p: sum(c[i] for i in x) / (len(x) + prior) for p, x in of.items()}
         taken = {p: s for p, s in score.items() if s >= accept and len(of[p] & seeds) >= least}
         c = {i: 1.0 if i in seeds else 1 - np.prod([1 - taken[p] for p in has[i] if p in taken]) for i in has}
-    return set(taken), {i for i, x in c.items() if x > 0}
+    return {i for i, x in c.items() if x > 0}
 
 
 def test_pii_scores_against_brute_force(spark):
@@ -327,9 +350,7 @@ def test_pii_scores_against_brute_force(spark):
         pairs = {(rng.randint(0, 79), rng.randint(100, 130)) for _ in range(250)} | {(i, 131 + i // 20) for i in range(60)}
         rows = [(i, p, "card" if i in seeds else None, 0, None) for i, p in pairs]
         graph = spark.createDataFrame(rows, "instance long, pattern long, seed string, tokens int, context long")
-        instances, patterns = pii._scored(graph, 1.0, 0.7, 3)
-        want = slow_scores(pairs, seeds)
-        assert {r.pattern for r in patterns.collect()} == want[0] and {r.instance for r in instances.where("c > 0").collect()} == want[1]
+        assert {r.instance for r in pii._scored(graph, 1.0, 0.7, 3).where("c > 0").collect()} == slow_scores(pairs, seeds)
 
 
 def test_pipeline_stages(spark, tmp_path):
