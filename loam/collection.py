@@ -1,16 +1,19 @@
 """Collections: chunks in Parquet, with ingest, search and administration.
 
-A collection is a folder of versions of one table,
+A collection is a folder with parts of one table,
 
     chunk_id, source, doc_hash, hash, chunk_index, bm25_id, text, embedding
 
-of which CURRENT names the one that holds; a write makes a new version and then
-changes the name, so a reader sees all of it or nothing.  Keyword statistics and
-duplicate registers are derived from the rows, never stored beside them.
+the bands of its chunks' MinHash signatures, and manifests: ``manifest-N.json`` names
+the parts of version N.  A writer adds its parts and then makes the next manifest, which
+fails if another writer has made it first; so a reader sees all of a write or nothing,
+and an addition writes what is new only.  The postings of a version are stored beside it
+when it is first searched.  ``vacuum`` removes what no version needs any more.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 
@@ -20,26 +23,38 @@ from pyspark.sql import functions as F
 from loam import config
 from loam.functions import text as T
 from loam.operators import dedup as D
+from loam.operators import embedding as E
 from loam.operators import keyword as KW
 from loam.operators import search as S
 from loam.operators.chunking import chunks
+from loam.shared import cut, numbered
 
 SCHEMA = "chunk_id string, source string, doc_hash string, hash string, chunk_index int, bm25_id long, text string, embedding array<double>"
+COLUMNS = [c.split(" ")[0] for c in SCHEMA.split(", ")]
+BANDS = "chunk_id string, band int, band_hash string"
 LONGEST_QUERY = 10_000
 Embedder = Callable[[Column], Column]
 
 
+class Conflict(RuntimeError):
+    """Another writer was first; nothing was changed."""
+
+
 def extension(path: Column) -> Column:
-    return F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
+    """A file's extension; of URLs and paths of protocols none, as their text has no language of its own."""
+    return F.when(path.contains(":") & ~path.startswith("file:"), "").otherwise(F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1)))
 
 
 def fill_ids(rows: DataFrame, order: str, id: str = "bm25_id") -> DataFrame:
     """Rows with the least free numbers from 0, by order, where the id is null; numbered rows keep theirs."""
-    n = rows.count()
-    used = rows.where(F.col(id).isNotNull()).select(F.col(id).alias("n"))
-    free = rows.sparkSession.range(n * 2).toDF("n").join(used, "n", "left_anti").withColumn("r", F.row_number().over(Window.orderBy("n")))
-    want = rows.where(F.col(id).isNull()).withColumn("r", F.row_number().over(Window.orderBy(order))).drop(id)
-    got = want.join(free, "r").drop("r").withColumnRenamed("n", id)
+    want = rows.where(F.col(id).isNull())
+    m, n = want.count(), rows.count()
+    if not m:
+        return rows
+    # of the numbers under n as many are free as are wanted at least
+    used = rows.where(F.col(id) < n).select(F.col(id).alias("n"))
+    free = numbered(rows.sparkSession.range(n).toDF("n").join(used, "n", "left_anti"), "n", name="r").where(F.col("r") < m)
+    got = numbered(want.drop(id), order, name="r").join(free, "r").drop("r").withColumnRenamed("n", id)
     return rows.where(F.col(id).isNotNull()).unionByName(got.select(*rows.columns))
 
 
@@ -50,108 +65,165 @@ def format_hits(hits: DataFrame) -> DataFrame:
     return hits.agg(F.when(F.count("*") == 0, "No relevant documents found.").otherwise(F.array_join(rows, "\n\n")).alias("text"))
 
 
-def plan_chunks(docs: DataFrame, settings: config.Settings | None = None, stored: DataFrame | None = None) -> DataFrame:
+def plan_chunks(docs: DataFrame, settings: config.Settings | None = None, stored: DataFrame | None = None, bands: DataFrame | None = None, *, refresh: bool = False) -> DataFrame:
     """The chunks of (path, content, ord) that are new: not blank, of documents not seen, neither exact nor near duplicates.
 
-    ``stored`` are rows of the collection, which come before.  Documents and
-    chunks share a register of hashes, as a document may equal a chunk."""
+    ``stored`` are rows of the collection, which come before, and ``bands`` their signatures'.  Documents and
+    chunks share a register of hashes, as a document may equal a chunk.  With refresh every chunk
+    is kept, whatever it repeats; of documents with equal content the last one counts."""
     s = settings or config.Settings()
     docs = docs.where(~T.is_blank(F.col("content"))).withColumn("doc_hash", T.content_hash(F.col("content")))
-    docs = D.first_occurrence(docs, "doc_hash", "ord")
-    if stored is not None:
+    docs = D.first_occurrence(docs.withColumn("__o", -F.col("ord")), "doc_hash", "__o").drop("__o") if refresh else D.first_occurrence(docs, "doc_hash", "ord")
+    if stored is not None and not refresh:
         seen = stored.select(F.col("hash").alias("doc_hash")).union(stored.select("doc_hash")).distinct()
         docs = docs.join(seen, "doc_hash", "left_anti")
     made = docs.select("ord", "path", "doc_hash", F.posexplode(chunks(F.col("content"), extension(F.col("path")), size=s.chunk_size, overlap=s.chunk_overlap)).alias("chunk_index", "text"))
     made = made.withColumn("hash", T.content_hash(F.col("text"))).withColumn("at", F.struct("ord", "chunk_index"))
     made = made.withColumn("key", F.concat_ws("-", F.lpad(F.col("ord").cast("string"), 19, "0"), F.lpad(F.col("chunk_index").cast("string"), 9, "0")))
-    # a document counts as seen after its own chunks
-    events = made.select("hash", "key").union(docs.select(F.col("doc_hash").alias("hash"), F.concat(F.lpad(F.col("ord").cast("string"), 19, "0"), F.lit("-~"))))
-    first = events.groupBy("hash").agg(F.min("key").alias("first"))
-    made = made.join(first, "hash").withColumn("exact", F.col("first") < F.col("key")).drop("first")
-    if stored is not None:
-        made = made.join(stored.select("hash").distinct().withColumn("known", F.lit(True)), "hash", "left").withColumn("exact", F.col("exact") | F.coalesce("known", F.lit(False))).drop("known")
-    made = made.where("not exact")
-    if s.near_dedup_enabled:
-        before = None
+    if not refresh:
+        # a document counts as seen after its own chunks
+        events = made.select("hash", "key").union(docs.select(F.col("doc_hash").alias("hash"), F.concat(F.lpad(F.col("ord").cast("string"), 19, "0"), F.lit("-~"))))
+        first = events.groupBy("hash").agg(F.min("key").alias("first"))
+        made = made.join(first, "hash").withColumn("exact", F.col("first") < F.col("key")).drop("first")
         if stored is not None:
-            before = D.band_rows(stored, "chunk_id", text="text", threshold=s.near_dedup_threshold, num_perm=s.near_dedup_num_perm).drop("chunk_id")
-        near = D.near_verdicts(made, "key", "text", threshold=s.near_dedup_threshold, num_perm=s.near_dedup_num_perm, before=before)
-        made = made.join(near.where("near_dup").select("key"), "key", "left_anti")
+            made = made.join(stored.select("hash").distinct().withColumn("known", F.lit(True)), "hash", "left").withColumn("exact", F.col("exact") | F.coalesce("known", F.lit(False))).drop("known")
+        made = made.where("not exact")
+        if s.near_dedup_enabled:
+            near = D.near_verdicts(made, "key", "text", threshold=s.near_dedup_threshold, num_perm=s.near_dedup_num_perm, before=bands)
+            made = made.join(near.where("near_dup").select("key"), "key", "left_anti")
     i = F.row_number().over(Window.partitionBy("doc_hash").orderBy("chunk_index")) - 1
     return made.select(F.concat_ws("_", "doc_hash", i.cast("string")).alias("chunk_id"), F.col("path").alias("source"), "doc_hash", "hash", "chunk_index", "text", "key")
 
 
 class Collection:
-    """``embed`` gives the embedding of a text column; without it only keyword search is there."""
+    """``embed`` gives the embedding of a text column, under the name ``model``; without it only keyword search is there.
+
+    Models and lengths of vectors can't be mixed in one collection."""
 
-    def __init__(self, spark: SparkSession, root: str, name: str, settings: config.Settings | None = None, embed: Embedder | None = None):
+    def __init__(self, spark: SparkSession, root: str, name: str, settings: config.Settings | None = None, embed: Embedder | None = None, model: str | None = None, distance: str = "cosine"):
         self.spark, self.name, self.settings, self.embed = spark, config.checked_name(name), settings or config.Settings(), embed
         self.path = f"{root.rstrip('/')}/{self.name}"
         jvm = spark._jvm.org.apache.hadoop.fs
         self._jvm = jvm
         self._fs = jvm.Path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
-        self._keyword: tuple[str, KW.Index] | None = None
-
-    def _version(self) -> str | None:
-        if not self._fs.exists(self._jvm.Path(self.path)):
-            return None
-        names = sorted(x.getPath().getName() for x in self._fs.listStatus(self._jvm.Path(self.path)))
-        done = [n for n in names if n.startswith("v") and self._fs.exists(self._jvm.Path(f"{self.path}/{n}/_SUCCESS"))]
-        return done[-1] if done else None
+        self._keyword: tuple[int, KW.Index] | None = None
+        self.model, self.distance = model, distance
+        known = self._manifest()[1]
+        for what, mine in (("model", model), ("distance", distance)):
+            if known.get(what) and mine and known[what] != mine:
+                raise ValueError(f"the collection {name!r} has the {what} {known[what]!r}, not {mine!r}")
+
+    def _names(self, folder: str) -> list[str]:
+        at = self._jvm.Path(folder)
+        return sorted(x.getPath().getName() for x in self._fs.listStatus(at)) if self._fs.exists(at) else []
+
+    def _manifest(self, version: int | None = None) -> tuple[int, dict]:
+        """The newest version that can be read, and its manifest; 0 and an empty one if there is none."""
+        for name in reversed([n for n in self._names(self.path) if n.startswith("manifest-")]):
+            n = int(name[9:17])
+            if version is None or n == version:
+                stream = self._fs.open(self._jvm.Path(f"{self.path}/{name}"))
+                try:
+                    return n, json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+                except ValueError:  # a writer is at it, or was lost
+                    continue
+                finally:
+                    stream.close()
+        return 0, {"parts": [], "bands": []}
+
+    def _commit(self, version: int, manifest: dict) -> None:
+        """Makes the manifest of the version; if it is there already, another writer was first."""
+        at = self._jvm.Path(f"{self.path}/manifest-{version:08d}.json")
+        try:
+            stream = self._fs.create(at, False)
+        except Exception as e:
+            if self._fs.exists(at):
+                raise Conflict(f"version {version} of {self.name!r} was written by another writer") from e
+            raise
+        stream.write(bytearray(json.dumps(manifest).encode()))
+        stream.close()
 
     def exists(self) -> bool:
-        return self._version() is not None
+        return self._manifest()[0] > 0
+
+    def _read(self, manifest: dict) -> DataFrame:
+        parts = [f"{self.path}/data/{p}" for p in manifest["parts"]]
+        return self.spark.read.schema(SCHEMA).parquet(*parts) if parts else self.spark.createDataFrame([], SCHEMA)
+
+    def _bands(self, manifest: dict) -> DataFrame:
+        parts = [f"{self.path}/bands/{p}" for p in manifest["bands"]]
+        return self.spark.read.schema(BANDS).parquet(*parts) if parts else self.spark.createDataFrame([], BANDS)
 
     def rows(self) -> DataFrame:
-        v = self._version()
-        return self.spark.read.schema(SCHEMA).parquet(f"{self.path}/{v}") if v else self.spark.createDataFrame([], SCHEMA)
+        return self._read(self._manifest()[1])
 
-    def _write(self, rows: DataFrame) -> None:
-        old = self._version()
-        n = int(old[1:9]) + 1 if old else 0
-        rows.select(*(c.split(" ")[0] for c in SCHEMA.split(", "))).write.parquet(f"{self.path}/v{n:08d}-{uuid.uuid4().hex[:8]}")
-        if old:
-            self._fs.delete(self._jvm.Path(f"{self.path}/{old}"), True)
+    def _write(self, folder: str, rows: DataFrame) -> str:
+        name = uuid.uuid4().hex
+        rows.write.parquet(f"{self.path}/{folder}/{name}")
+        return name
 
     def add(self, docs: DataFrame, *, refresh: bool = False, replace_by: str = "content") -> DataFrame:
         """Ingests (path, content): (path, status, reason, chunks, hash) of each document.
 
         refresh first removes what was stored of the same content, or with
-        replace_by='source' of the same path."""
+        replace_by='source' of the same path, and then keeps every chunk."""
         s = self.settings
-        docs = docs.select("path", "content").withColumn("ord", F.row_number().over(Window.orderBy("path", F.sha2("content", 256)))).persist()
-        stored = self.rows()
-        if refresh:
+        version, manifest = self._manifest()
+        docs = numbered(docs.select("path", "content", F.sha2("content", 256).alias("__h")), "path", "__h", name="ord").drop("__h")
+        stored, bands = self._read(manifest), self._bands(manifest)
+        if refresh and manifest["parts"]:
             gone = docs.select(T.content_hash(F.col("content")).alias("doc_hash")) if replace_by == "content" else docs.select(F.col("path").alias("source"))
-            stored = stored.join(gone.distinct(), gone.columns[0], "left_anti")
-        new = plan_chunks(docs, s, stored).persist()
-        top = (stored.agg(F.max("bm25_id")).first()[0] or -1) + 1 if not stored.isEmpty() else 0
+            gone = gone.distinct()
+            lost = cut(stored.join(gone, gone.columns[0], "left_semi").select("chunk_id"), "gone")
+            if not lost.isEmpty():
+                # what stays is written again; else nothing but the new rows is
+                manifest = manifest | {"parts": [self._write("data", stored.join(lost, "chunk_id", "left_anti").select(*COLUMNS))], "bands": [self._write("bands", bands.join(lost, "chunk_id", "left_anti"))]}
+                stored, bands = self._read(manifest), self._bands(manifest)
+        new = cut(plan_chunks(docs, s, stored, bands, refresh=refresh), "chunks")
+        top = stored.agg(F.max("bm25_id")).first()[0]
         vector = F.lit(None).cast("array<double>")
         if self.embed:
+            big = E.too_large(new, s.max_memory_mb).first()
+            if big is not None:
+                raise ValueError(f"a document would take {big['mb']:.0f} MB, more than {s.max_memory_mb}")
             name = F.when(F.col("source").contains(":"), F.col("source")).otherwise(F.regexp_extract("source", "[^/]*$", 0))
             vector = self.embed(T.contextual_header(name, F.col("text")) if s.contextual_headers else F.col("text")).cast("array<double>")
-        rows = new.withColumn("bm25_id", F.row_number().over(Window.orderBy("key")) + F.lit(top) - 1).withColumn("embedding", vector)
-        got = new.groupBy("doc_hash").agg(F.count("*").alias("chunks"))
+        rows = numbered(new, "key", name="bm25_id", start=0 if top is None else top + 1).withColumn("embedding", vector)
+        part = self._write("data", rows.select(*COLUMNS))
+        kept = self.spark.read.schema(SCHEMA).parquet(f"{self.path}/data/{part}")
+        if self.embed:
+            lo, hi = kept.agg(F.min(F.size("embedding")), F.max(F.size("embedding"))).first()
+            want = manifest.get("dimension") or hi
+            if lo is not None and (lo != hi or hi != want):
+                raise ValueError(f"vectors of {lo} to {hi} numbers don't fit the collection's {want}")
+            manifest = manifest | {"dimension": want, "distance": self.distance} | ({"model": self.model} if self.model else {})
+        band = self._write("bands", D.band_rows(kept, "chunk_id", text="text", threshold=s.near_dedup_threshold, num_perm=s.near_dedup_num_perm)) if s.near_dedup_enabled else None
+        self._commit(version + 1, manifest | {"parts": [*manifest["parts"], part], "bands": [*manifest["bands"], *([band] if band else [])]})
+        got = kept.groupBy("doc_hash").agg(F.count("*").alias("chunks"))
         status = docs.withColumn("hash", T.content_hash(F.col("content"))).join(got, F.col("hash") == got["doc_hash"], "left")
-        again = F.row_number().over(Window.partitionBy("hash").orderBy("ord")) > 1
+        again = F.row_number().over(Window.partitionBy("hash").orderBy(F.desc("ord") if refresh else F.col("ord"))) > 1
         blank = T.is_blank(F.col("content"))
         reason = F.when(blank, "empty content").when(again | F.col("chunks").isNull(), "duplicate")
-        status = status.select("path", F.when(reason.isNull(), "success").otherwise("skipped").alias("status"), reason.alias("reason"), F.when(reason.isNull(), F.col("chunks")).otherwise(0).alias("chunks"), "hash")
-        out = self.spark.createDataFrame(status.collect(), "path string, status string, reason string, chunks long, hash string")
-        self._write(stored.select(*stored.columns).unionByName(rows.select(*stored.columns)))
-        new.unpersist()
-        docs.unpersist()
-        return out
+        return cut(status.select("path", F.when(reason.isNull(), "success").otherwise("skipped").alias("status"), reason.alias("reason"), F.when(reason.isNull(), F.col("chunks")).otherwise(0).alias("chunks"), "hash"), "status")
+
+    def _tokens(self, text: Column) -> Column:
+        return T.tokens(text, self.settings.bm25_language, stemmed=self.settings.bm25_stemmed)
 
     def keyword_index(self) -> KW.Index:
-        """Derived once for each version of the rows."""
-        v = self._version() or ""
+        """The version's postings, stored when they are first asked for."""
+        v, manifest = self._manifest()
         if self._keyword is None or self._keyword[0] != v:
-            self._keyword = v, KW.build(self.rows(), "bm25_id", T.tokens(F.col("text"), self.settings.bm25_language))
+            at = f"{self.path}/index/{v:08d}-{self.settings.bm25_language or 'auto'}{'' if self.settings.bm25_stemmed else '-whole'}"
+            if not all(self._fs.exists(self._jvm.Path(f"{at}/{x}/_SUCCESS")) for x in ("postings", "lengths")):
+                self._fs.delete(self._jvm.Path(at), True)
+                KW.store(KW.build(self._read(manifest), "bm25_id", self._tokens(F.col("text"))), at)
+            self._keyword = v, KW.stored(self.spark, at)
         return self._keyword[1]
 
     def rebuild(self) -> KW.Index:
+        """The postings made anew."""
         self._keyword = None
+        self._fs.delete(self._jvm.Path(f"{self.path}/index"), True)
         return self.keyword_index()
 
     def _where(self, filters: dict | None, contains: bool) -> Column | None:
@@ -207,10 +279,10 @@ class Collection:
                     raise ValueError("vector search needs an embedder or a query vector")
                 query_vector = self.spark.range(1).select(self.embed(F.lit(query)).alias("v")).first()[0]
             base = only(rows, equal, sub if pre else None).where("embedding is not null")
-            vector = S.knn(base, "bm25_id", "embedding", query_vector, n)
+            vector = S.knn(base, "bm25_id", "embedding", query_vector, n, distance=self.distance)
         if mode != "vector":
-            terms = self.spark.range(1).select(T.tokens(F.lit(query), s.bm25_language).alias("t")).first()[0]
-            index = KW.build(only(rows, equal, sub), "bm25_id", T.tokens(F.col("text"), s.bm25_language)) if pre and filters else self.keyword_index()
+            terms = self.spark.range(1).select(self._tokens(F.lit(query)).alias("t")).first()[0]
+            index = KW.build(only(rows, equal, sub), "bm25_id", self._tokens(F.col("text"))) if pre and filters else self.keyword_index()
             keyword = KW.search(index, terms, n, variant=s.bm25_algorithm)
         if mode == "vector":
             hits = filtered(cut(vector, k), None if pre else sub)
@@ -228,6 +300,10 @@ class Collection:
             out = S.mmr(out.where("embedding is not null"), "embedding", query_vector, balance=s.diversity_lambda, k=k)
         return out.select("rank", "chunk_id", "source", "chunk_index", "text", "score").orderBy("rank")
 
+    def sources(self) -> DataFrame:
+        """(source) of the chunks, each once."""
+        return self.rows().select("source").distinct()
+
     def sources_of(self, hits: DataFrame) -> list[str]:
         return sorted(r[0] for r in hits.select("source").distinct().collect())
 
@@ -250,8 +326,40 @@ class Collection:
         if where is None:
             self._fs.delete(self._jvm.Path(self.path), True)
             self._keyword = None
-        else:
-            self._write(self.rows().where(~F.coalesce(where, F.lit(False))))
+            return
+        version, manifest = self._manifest()
+        left = self._read(manifest).where(~F.coalesce(where, F.lit(False)))
+        part = self._write("data", left.select(*COLUMNS))
+        kept = self.spark.read.schema(SCHEMA).parquet(f"{self.path}/data/{part}").select("chunk_id")
+        self._commit(version + 1, manifest | {"parts": [part], "bands": [self._write("bands", self._bands(manifest).join(kept, "chunk_id", "left_semi"))]})
+
+    def vacuum(self) -> None:
+        """Removes manifests, parts and postings that the newest version doesn't need."""
+        version, manifest = self._manifest()
+        used = {*manifest["parts"], *manifest["bands"]}
+        old = [f"{self.path}/{n}" for n in self._names(self.path) if n.startswith("manifest-") and int(n[9:17]) < version]
+        old += [f"{self.path}/{f}/{n}" for f in ("data", "bands") for n in self._names(f"{self.path}/{f}") if n not in used]
+        old += [f"{self.path}/index/{n}" for n in self._names(f"{self.path}/index") if int(n[:8]) != version]
+        for x in old:
+            self._fs.delete(self._jvm.Path(x), True)
+
+
+def tool(collection: Collection, **options) -> Callable[[str], str]:
+    """A search for callers that want text: the numbered hits of a query, or what went wrong."""
+
+    def run(query: str) -> str:
+        try:
+            return format_hits(collection.search(query, **options)).first()[0]
+        except Exception as e:
+            return f"The search failed: {e}"
+
+    return run
+
+
+def parse_filters(given: list[str]) -> dict[str, str]:
+    """Filters of ``key:value``; those without a key or a value are left out."""
+    parts = [x.partition(":") for x in given]
+    return {k: v for k, sep, v in parts if k and sep and v}
 
 
 def collections(spark: SparkSession, root: str) -> list[str]:

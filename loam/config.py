@@ -6,7 +6,7 @@ import re
 from dataclasses import asdict, dataclass, field, fields, replace
 from pathlib import Path
 
-LOADERS = {"git": "yek --json $1", "pdf": "pdftotext $1 -", "docx": "pandoc --to plain $1", "jpg": "tesseract $1 -", "png": "tesseract $1 -"}
+LOADERS = {"git": "yek --json $1", "pdf": "pdftotext $1 -"} | dict.fromkeys(("docx", "odt", "rtf", "epub", "rst", "org"), "pandoc --to plain $1")
 
 
 def _whole(x) -> bool:
@@ -31,10 +31,12 @@ class Settings:
     retrieval_candidates: int | None = None
     bm25_algorithm: str = "plus"
     bm25_language: str | None = None
+    bm25_stemmed: bool = True
     near_dedup_enabled: bool = True
     near_dedup_threshold: float = 0.8
     near_dedup_num_perm: int = 128
     contextual_headers: bool = True
+    max_memory_mb: float = 500
     filter_placement: str = "reference"
     document_loaders: dict[str, str] = field(default_factory=lambda: dict(LOADERS))
 
@@ -58,15 +60,24 @@ class Settings:
         need(self.retrieval_candidates is None or _whole(self.retrieval_candidates) and self.retrieval_candidates >= 2, "retrieval_candidates", "an integer from 2 or none")
         need(self.bm25_algorithm in ("plus", "okapi"), "bm25_algorithm", "plus or okapi")
         need(self.bm25_language is None or isinstance(self.bm25_language, str), "bm25_language", "a language or none")
-        for name in ("query_aware_weights", "near_dedup_enabled", "contextual_headers"):
+        for name in ("query_aware_weights", "bm25_stemmed", "near_dedup_enabled", "contextual_headers"):
             need(isinstance(getattr(self, name), bool), name, "true or false")
         need(isinstance(self.near_dedup_threshold, (int, float)) and 0 < self.near_dedup_threshold <= 1, "near_dedup_threshold", "over 0 and at most 1")
         need(_whole(self.near_dedup_num_perm) and 16 <= self.near_dedup_num_perm <= 512, "near_dedup_num_perm", "from 16 to 512")
+        need(isinstance(self.max_memory_mb, (int, float)) and self.max_memory_mb > 0, "max_memory_mb", "a positive number")
         need(self.filter_placement in ("reference", "pre"), "filter_placement", "reference or pre")
 
     def with_(self, **changes) -> Settings:
         return replace(self, **changes)
 
+    def with_loader(self, name: str, command: str) -> Settings:
+        """The settings with a loader added or changed."""
+        return self.with_(document_loaders=self.document_loaders | {name: command})
+
+    def without_loader(self, name: str) -> Settings:
+        """The settings without a loader; one that isn't there is no error."""
+        return self.with_(document_loaders={k: v for k, v in self.document_loaders.items() if k != name})
+
     def candidates(self, k: int) -> int:
         """How many each search retrieves for k results."""
         return self.retrieval_candidates or min(100, max(20, 10 * k))

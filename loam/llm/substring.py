@@ -133,15 +133,26 @@ def _alike(held: DataFrame, threshold: float) -> DataFrame:
 
 
 def _rarest(held: DataFrame, threshold: float) -> DataFrame:
-    """The same pairs of long lists: units that pass must share one of each other's rarest word pairs in the list (prefix filter)."""
+    """The same pairs of long lists.
+
+    Units that pass share one of the rarest word pairs that the list has of either (prefix filter): of the
+    smaller set, and of both if they are as large, as many as are left where the others make
+    threshold's share of a set of the same size; of the larger set, of a smaller one."""
     e = held.select("v", "unit", "c", F.array_distinct("p").alias("p")).select("v", "unit", "c", F.size("p").alias("s"), F.explode("p").alias("e"))
     e = e.withColumn("df", F.count("*").over(Window.partitionBy("v", "e")))
     e = e.withColumn("r", F.row_number().over(Window.partitionBy("v", "unit").orderBy("df", "e")))
+    e = e.withColumn("equal", F.col("r") <= F.col("s") - F.ceil(2 * threshold / (1 + threshold) * F.col("s") - 1e-9) + 1)
     e = e.where((F.col("r") <= F.col("s") - F.ceil(threshold * F.col("s") - 1e-9) + 1) & (F.col("df") > 1))
     by = Window.partitionBy("v", "e")
-    e = e.withColumn("l", F.min("c").over(by)).withColumn("h", F.max("c").over(by)).where("l < h").select("v", "e", "unit", "c")
+    e = e.withColumn("l", F.min("c").over(by)).withColumn("h", F.max("c").over(by)).where("l < h").select("v", "e", "unit", "c", "s", "equal")
     e = cut(e, "rarest")
-    pairs = e.toDF("v", "e", "a", "ca").join(e.toDF("v", "e", "b", "cb"), ["v", "e"]).where("a < b and ca <> cb").select("a", "b").distinct()
+    tasks = max(16, -(-e.count() // 20_000))
+    one = e.where("equal").select("v", "e", "s", "unit", "c").repartition(tasks, "v", "e", "s")
+    pairs = one.toDF("v", "e", "s", "a", "ca").join(one.toDF("v", "e", "s", "b", "cb"), ["v", "e", "s"]).where("a < b and ca <> cb").select("a", "b")
+    less = one.toDF("v", "e", "sb", "b", "cb").repartition(tasks, "v", "e")
+    more = e.select("v", "e", F.col("unit").alias("a"), F.col("c").alias("ca"), F.col("s").alias("sa")).repartition(tasks, "v", "e")
+    other = more.join(less, ["v", "e"]).where((F.col("sa") > F.col("sb")) & (F.col("sb") >= threshold * F.col("sa") - 1e-9) & (F.col("ca") != F.col("cb"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = pairs.union(other).distinct()
     p = cut(held.groupBy("unit").agg(F.first("p").alias("p")), "pairs")
     j = pairs.join(p.toDF("a", "pa"), "a").join(p.toDF("b", "pb"), "b")
     return j.where(F.size(F.array_intersect("pa", "pb")) / F.size(F.array_union("pa", "pb")) >= threshold).select("a", "b")

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loam.functions.text import content_hash, shingles
+from loam.shared import cut
 
 PRIME = 4294967311
 
@@ -61,14 +62,14 @@ def _least(values: pa.Array, num_perm: int, seed: int) -> list[np.ndarray | None
     return out
 
 
-def signature(text: Column, num_perm: int = 128, seed: int = 1) -> Column:
-    """MinHash signature: of each permutation the least value over the shingles; of no shingles the prime."""
+def signatures(df: DataFrame, key: str, text: str, num_perm: int = 128, seed: int = 1) -> DataFrame:
+    """(key, sig): MinHash signatures, of each permutation the least value over the shingles; of no shingles the prime, of null texts null."""
 
-    @F.arrow_udf("array<long>")
-    def least(values: pa.Array) -> pa.Array:
-        return pa.array(_least(values, num_perm, seed), pa.list_(pa.int64()))
+    def run(batches):
+        for rows in batches:
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(_least(rows.column(1), num_perm, seed), pa.list_(pa.int64()))], [key, "sig"])
 
-    return least(_hashes(text))
+    return df.select(key, _hashes(F.col(text)).alias("values")).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, sig array<long>")
 
 
 def band_rows(df: DataFrame, key: str, *, text: str | None = None, sig: str | None = None, threshold: float = 0.8, num_perm: int = 128, seed: int = 1) -> DataFrame:
@@ -99,13 +100,57 @@ def unseen(df: DataFrame, seen: DataFrame, key: str = "hash") -> DataFrame:
 
 
 def near_verdicts(df: DataFrame, order: str, text: str, *, threshold: float = 0.8, num_perm: int = 128, before: DataFrame | None = None) -> DataFrame:
-    """(order, near_dup) of every row; ``before`` holds (band, band_hash) of what was indexed earlier."""
-    rows = band_rows(df, order, text=text, threshold=threshold, num_perm=num_perm)
+    """(order, near_dup) of every row; ``before`` holds (band, band_hash) of what was indexed earlier.
+
+    Bands are hashes of 128 bits.  The first row of each is found by a sum that combines before it
+    is shuffled, so a band that many rows share costs no sort."""
+    rows = cut(band_rows(df, order, text=text, threshold=threshold, num_perm=num_perm), "bands")
+    first = rows.groupBy("band", "band_hash").agg(F.min(order).alias("first"), F.lit(False).alias("known"))
     if before is not None:
-        rows = rows.unionByName(before.select(F.lit(None).cast(df.schema[order].dataType).alias(order), "band", "band_hash"))
-    w = Window.partitionBy("band", "band_hash")
-    hit = F.coalesce((F.min(order).over(w) < F.col(order)) | (F.count("*").over(w) > F.count(order).over(w)), F.lit(False))
-    return rows.withColumn("hit", hit).where(F.col(order).isNotNull()).groupBy(order).agg(F.max("hit").alias("near_dup"))
+        old = before.select("band", "band_hash").distinct().withColumn("known", F.lit(True))
+        first = first.drop("known").join(old, ["band", "band_hash"], "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    hit = F.col("known") | (F.col("first") < F.col(order))
+    return rows.join(first, ["band", "band_hash"]).groupBy(order).agg(F.max(hit).alias("near_dup"))
+
+
+class Register:
+    """Near duplicates by key, as a table (key, signature) in memory of the session: add, look up, clear, count.
+
+    A key that is there is left as it is; a text without one gets ``nd_`` and the number of entries."""
+
+    def __init__(self, spark, *, threshold: float = 0.8, num_perm: int = 128):
+        self.spark, self.threshold, self.num_perm = spark, threshold, num_perm
+        self.clear()
+
+    def clear(self) -> None:
+        self.rows = self.spark.createDataFrame([], "key string, sig array<long>")
+        self.size = 0
+
+    def _signed(self, text: str) -> DataFrame:
+        return signatures(self.spark.createDataFrame([("", text)], "key string, text string"), "key", "text", self.num_perm)
+
+    def is_near(self, text: str) -> bool:
+        """Whether a band of the text's signature is one of an entry's."""
+        options = {"sig": "sig", "threshold": self.threshold, "num_perm": self.num_perm}
+        mine = band_rows(self._signed(text), "key", **options)
+        return not band_rows(self.rows, "key", **options).join(mine.select("band", "band_hash"), ["band", "band_hash"], "left_semi").isEmpty()
+
+    def add(self, text: str, key: str | None = None) -> str:
+        key = f"nd_{self.size + 1}" if key is None else key
+        if self.rows.where(F.col("key") == key).isEmpty():
+            self.rows = cut(self.rows.union(self._signed(text).select(F.lit(key), "sig")), "register")
+            self.size += 1
+        return key
+
+    def check_and_add(self, text: str, key: str | None = None) -> tuple[bool, str]:
+        near = self.is_near(text)
+        return near, self.add(text, key)
+
+    def load(self, rows: DataFrame) -> None:
+        """Takes entries (key, sig) that were stored; known keys stay."""
+        new = rows.select("key", "sig").join(self.rows.select("key"), "key", "left_anti").dropDuplicates(["key"])
+        self.rows = cut(self.rows.union(new), "register")
+        self.size = self.rows.count()
 
 
 def dedup(df: DataFrame, text: str, order: str, *, threshold: float = 0.8, num_perm: int = 128) -> DataFrame:

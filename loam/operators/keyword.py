@@ -1,38 +1,103 @@
-"""BM25 over postings tables."""
+"""BM25 over tokens or stored postings."""
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loam.shared import broadcast_under, cut
+
 K1, B, DELTA, EPSILON = 1.5, 0.75, 1.0, 0.25
+#: As many terms at most are looked for row by row; more are joined
+FEW = 64
+BUCKETS = 64
 
 
 @dataclass
 class Index:
-    """postings(term, id, tf), lengths(id, dl), terms(term, df), and the corpus' n and avgdl."""
+    """Documents as (id, tokens), or their stored postings (bucket, term, id, tf, dl) with (id, dl)."""
+
+    docs: DataFrame | None = None
+    stored: DataFrame | None = None
+    stored_lengths: DataFrame | None = None
+
+    @functools.cached_property
+    def lengths(self) -> DataFrame:
+        """(id, dl)."""
+        return self.stored_lengths if self.docs is None else self.docs.select("id", F.size("tokens").alias("dl"))
+
+    @functools.cached_property
+    def postings(self) -> DataFrame:
+        """(term, id, tf, dl)."""
+        if self.docs is None:
+            return self.stored.select("term", "id", "tf", "dl")
+        return self.docs.select("id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("term", "id", "dl").agg(F.count("*").alias("tf")).select("term", "id", "tf", "dl")
+
+    @functools.cached_property
+    def terms(self) -> DataFrame:
+        """(term, df)."""
+        if self.docs is None:
+            return self.stored.groupBy("term").agg(F.count("*").alias("df"))
+        return self.docs.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+
+    @functools.cached_property
+    def _stats(self) -> tuple[int, float]:
+        n, avgdl = self.lengths.agg(F.count("*"), F.avg("dl")).first()
+        return n, avgdl or 0.0
 
-    postings: DataFrame
-    lengths: DataFrame
-    terms: DataFrame
-    n: int
-    avgdl: float
+    @property
+    def n(self) -> int:
+        return self._stats[0]
 
     @property
-    def size(self) -> int:
-        return self.n
+    def avgdl(self) -> float:
+        return self._stats[1]
+
+    size = n
+
+    def matched(self, terms: DataFrame, few: list[str] | None) -> DataFrame:
+        """(term, id, tf, dl) of the given terms; few are the same on the driver, where there are few."""
+        if self.docs is None:
+            rows = self.stored.where(F.col("term").isin(few) & F.col("bucket").isin(sorted(_buckets(self.stored, few)))) if few is not None else self.stored.join(terms, "term", "left_semi")
+            return rows.select("term", "id", "tf", "dl")
+        if few is not None:
+            # within each row: nothing is shuffled
+            mine = self.docs.select("id", F.size("tokens").alias("dl"), F.filter("tokens", lambda t: t.isin(few)).alias("f")).where(F.size("f") > 0)
+            pairs = F.transform(F.array_distinct("f"), lambda t: F.struct(t.alias("term"), F.size(F.filter("f", lambda x: x == t)).cast("long").alias("tf")))
+            return mine.select("id", "dl", F.inline(pairs)).select("term", "id", "tf", "dl")
+        rows = self.docs.select("id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(terms, "term", "left_semi")
+        return rows.groupBy("id", "dl", "term").agg(F.count("*").alias("tf")).select("term", "id", "tf", "dl")
+
+
+def bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+def _buckets(df: DataFrame, terms: list[str]) -> set[int]:
+    if not terms:
+        return set()
+    rows = df.sparkSession.createDataFrame([(t,) for t in terms], "term string")
+    return {r[0] for r in rows.select(bucket(F.col("term"))).collect()}
 
 
 def build(docs: DataFrame, id: str, tokens: Column) -> Index:
-    """An index of (id, tokens); documents without tokens count in n and in the mean length."""
-    t = docs.select(F.col(id).alias("id"), F.coalesce(tokens, F.array().cast("array<string>")).alias("tokens")).persist()
-    postings = t.select("id", F.explode("tokens").alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"))
-    lengths = t.select("id", F.size("tokens").alias("dl"))
-    terms = postings.groupBy("term").agg(F.count("*").alias("df"))
-    n, avgdl = lengths.agg(F.count("*"), F.avg("dl")).first()
-    return Index(postings, lengths, terms, n, avgdl or 0.0)
+    """An index of (id, tokens), made as it is read; documents without tokens count in n and in the mean length."""
+    return Index(docs.select(F.col(id).alias("id"), F.coalesce(tokens, F.array().cast("array<string>")).alias("tokens")))
+
+
+def store(index: Index, path: str) -> None:
+    """Writes postings by the hash of their term, so that a query reads its terms' folders only, and lengths."""
+    rows = index.postings.withColumn("bucket", bucket(F.col("term")))
+    rows.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
+    index.lengths.write.parquet(f"{path}/lengths")
+
+
+def stored(spark, path: str) -> Index:
+    rows = spark.read.schema("term string, id long, tf long, dl int, bucket int").parquet(f"{path}/postings")
+    return Index(None, rows, spark.read.schema("id long, dl int").parquet(f"{path}/lengths"))
 
 
 def search_all(index: Index, queries: DataFrame, k: int, *, variant: str = "plus", match_only: bool = False) -> DataFrame:
@@ -44,35 +109,43 @@ def search_all(index: Index, queries: DataFrame, k: int, *, variant: str = "plus
     if variant not in ("plus", "okapi"):
         raise ValueError(f"unknown BM25 variant: {variant}")
     bag = queries.select("qid", F.explode("terms").alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
-    terms = F.broadcast(bag).join(index.terms, "term")
+    bag = cut(bag, "bag")
+    rows, size = bag.agg(F.count("*"), F.sum(48 + F.length("term") * 2)).first()
+    some = bag.select("term").distinct().limit(FEW + 1).collect() if rows <= 4 * FEW else [None] * (FEW + 1)
+    few = [r[0] for r in some] if len(some) <= FEW else None
+    hits = index.matched(broadcast_under(bag.select("term").distinct(), size or 0), few)
+    df = hits.groupBy("term").agg(F.count("*").alias("df"))
     n = float(index.n)
     if variant == "plus":
-        terms = terms.withColumn("idf", F.log((n + 1) / F.col("df")))
+        terms = bag.join(df, "term").withColumn("idf", F.log((n + 1) / F.col("df")))
     else:
         raw = F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
         mean = index.terms.agg(F.avg(raw)).first()[0] or 0.0
-        terms = terms.withColumn("raw", raw).withColumn("idf", F.when(F.col("raw") < 0, EPSILON * mean).otherwise(F.col("raw")))
-    size = K1 * (1 - B + B * F.col("dl") / (index.avgdl or 1.0))
-    gain = F.col("tf") * (K1 + 1) / (size + F.col("tf"))
+        terms = bag.join(df, "term").withColumn("raw", raw).withColumn("idf", F.when(F.col("raw") < 0, EPSILON * mean).otherwise(F.col("raw")))
+    terms = cut(terms.select("qid", "term", (F.col("qtf") * F.col("idf")).alias("weight")), "terms")
+    length = K1 * (1 - B + B * F.col("dl") / (index.avgdl or 1.0))
+    gain = F.col("tf") * (K1 + 1) / (length + F.col("tf"))
     if variant == "plus" and match_only:
         gain = gain + DELTA
-    hits = index.postings.join(F.broadcast(terms.select("qid", "term", "qtf", "idf")), "term").join(index.lengths, "id")
-    scored = hits.groupBy("qid", "id").agg(F.sum(F.col("qtf") * F.col("idf") * gain).alias("score"))
-    if variant == "plus" and not match_only:
-        base = terms.groupBy("qid").agg(F.sum(F.col("qtf") * F.col("idf") * DELTA).alias("base"))
-        # of the unmatched ones only as many as can be wanted: the k least ids beyond the matched
-        pad = index.lengths.orderBy("id").select("id")
-        fill = base.crossJoin(_least(pad, scored, k)).join(scored.select("qid", "id"), ["qid", "id"], "left_anti").select("qid", "id", F.col("base").alias("score"))
-        scored = scored.join(F.broadcast(base), "qid").select("qid", "id", (F.col("score") + F.col("base")).alias("score")).union(fill)
+    # documents stay where they are while their terms are weighed and added up
+    weighed = hits.join(broadcast_under(terms, (size or 0) + 16 * (rows or 0)), "term").select("qid", "id", (F.col("weight") * gain).alias("s"))
+    scored = weighed.groupBy("qid", "id").agg(F.sum("s").alias("score"))
     # sums in another order may differ in the last digits, which must not part equal scores
     w = Window.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), "id")
-    return scored.where("score > 0").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
-def _least(ids: DataFrame, scored: DataFrame, k: int) -> DataFrame:
-    """Ids among which each query's k least unmatched ones are: so many that the matched can't use them up."""
-    most = scored.groupBy("qid").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    return F.broadcast(ids.limit(k + most)) if most < 10_000 else ids
+    full = variant == "plus" and not match_only
+    top = scored if full else scored.where("score > 0")
+    top = top.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    if not full:
+        return top
+    # unmatched documents have the base alone; only queries with fewer than k matches need any, of the least 2 k ids
+    top = cut(top, "top")
+    base = terms.groupBy("qid").agg(F.sum(F.col("weight") * DELTA).alias("base"))
+    short = base.join(top.groupBy("qid").agg(F.count("*").alias("m")), "qid", "left").select("qid", "base", F.coalesce("m", F.lit(0)).alias("m")).where(F.col("m") < k)
+    pad = index.lengths.select("id").orderBy("id").limit(2 * k)
+    fill = short.crossJoin(F.broadcast(pad)).join(top.select("qid", "id"), ["qid", "id"], "left_anti")
+    at = F.row_number().over(Window.partitionBy("qid").orderBy("id"))
+    fill = fill.withColumn("rank", (F.col("m") + at).cast("int")).where((F.col("rank") <= k) & (F.col("base") > 0)).select("qid", "id", F.col("base").alias("score"), "rank")
+    return top.join(base, "qid").select("qid", "id", (F.col("score") + F.col("base")).alias("score"), "rank").union(fill)
 
 
 def search(index: Index, terms: list[str], k: int, **options) -> DataFrame:

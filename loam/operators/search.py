@@ -12,35 +12,68 @@ from pyspark.sql import functions as F
 from loam.functions.vectors import checked, cosine_to
 
 
-def knn(vectors: DataFrame, id: str, embedding: str, query, k: int, where: Column | None = None) -> DataFrame:
-    """(id, score, rank): the k most similar by cosine, ties by id; ``where`` filters before."""
+DISTANCES = ("cosine", "l2", "ip")
+
+
+def similarity(embedding: Column, query, distance: str = "cosine") -> Column:
+    """How near an embedding is to the query, more is nearer: cosine, the inner product, or the negative squared distance."""
+    if distance == "cosine":
+        return cosine_to(embedding, query)
+    if distance not in DISTANCES:
+        raise ValueError(f"unknown distance: {distance}")
+    q = F.array(*(F.lit(float(x)) for x in query))
+    each = F.zip_with(embedding.cast("array<double>"), q, (lambda a, b: a * b) if distance == "ip" else (lambda a, b: -(a - b) * (a - b)))
+    return F.aggregate(each, F.lit(0.0), lambda t, x: t + x)
+
+
+def knn(vectors: DataFrame, id: str, embedding: str, query, k: int, where: Column | None = None, *, distance: str = "cosine") -> DataFrame:
+    """(id, score, rank): the k nearest, ties by id; ``where`` filters before."""
     q = checked(query)
     rows = vectors if where is None else vectors.where(where)
-    best = rows.select(F.col(id).alias("id"), cosine_to(F.col(embedding), q).alias("score")).orderBy(F.desc("score"), "id").limit(k)
+    best = rows.select(F.col(id).alias("id"), similarity(F.col(embedding), q, distance).alias("score")).orderBy(F.desc("score"), "id").limit(k)
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
 
 
-def knn_all(vectors: DataFrame, id: str, embedding: str, queries: DataFrame, k: int) -> DataFrame:
-    """(qid, id, score, rank) for queries (qid, embedding), which every task holds: matrix products, then k of each task's k best."""
-    rows = queries.select("qid", "embedding").collect()
-    ids = [r[0] for r in rows]
-    q = np.array([r[1] for r in rows], float)
-    q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-    kind, qkind = vectors.schema[id].dataType.simpleString(), queries.schema["qid"].dataType.simpleString()
+def knn_by(vectors: DataFrame, id: str, embedding: str, query, k: int, by: str, *, distance: str = "cosine") -> DataFrame:
+    """(by, id, score, rank): the k nearest of each group."""
+    w = Window.partitionBy("by").orderBy(F.desc("score"), "id")
+    rows = vectors.select(F.col(by).alias("by"), F.col(id).alias("id"), similarity(F.col(embedding), checked(query), distance).alias("score"))
+    return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumnRenamed("by", by)
+
 
-    def run(batches):
-        for b in batches:
-            v = np.array(b.column(1).to_pylist(), float)
-            if not len(v):
-                continue
-            n = np.linalg.norm(v, axis=1, keepdims=True)
-            s = np.where(n < 1e-10, 0, v / np.maximum(n, 1e-300)) @ q.T
-            key = b.column(0).to_numpy(zero_copy_only=False)
-            for i in range(len(ids)):
-                top = np.lexsort((key, -s[:, i]))[:k]
-                yield pa.RecordBatch.from_pydict({"qid": [ids[i]] * len(top), "id": key[top], "score": s[top, i]})
-
-    near = vectors.select(id, embedding).where(F.col(embedding).isNotNull()).mapInArrow(run, f"qid {qkind}, id {kind}, score double")
+def knn_all(vectors: DataFrame, id: str, embedding: str, queries: DataFrame, k: int, *, per_pass: int = 4096) -> DataFrame:
+    """(qid, id, score, rank) for queries (qid, embedding): matrix products with ``per_pass`` queries at a time, which every task holds, then k of each task's k best."""
+    kind, qkind = vectors.schema[id].dataType.simpleString(), queries.schema["qid"].dataType.simpleString()
+    base = vectors.select(id, embedding).where(F.col(embedding).isNotNull())
+
+    def search(rows: list) -> Callable:
+        ids = [r[0] for r in rows]
+        q = np.array([r[1] for r in rows], float)
+        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
+
+        def run(batches):
+            for b in batches:
+                v = np.array(b.column(1).to_pylist(), float)
+                if not len(v):
+                    continue
+                n = np.linalg.norm(v, axis=1, keepdims=True)
+                s = np.where(n < 1e-10, 0, v / np.maximum(n, 1e-300)) @ q.T
+                key = b.column(0).to_numpy(zero_copy_only=False)
+                for i in range(len(ids)):
+                    top = np.lexsort((key, -s[:, i]))[:k]
+                    yield pa.RecordBatch.from_pydict({"qid": [ids[i]] * len(top), "id": key[top], "score": s[top, i]})
+
+        return run
+
+    near, tile = None, []
+    for r in [*queries.select("qid", "embedding").toLocalIterator(), None]:
+        if r is not None:
+            tile.append(r)
+        if tile and (r is None or len(tile) == per_pass):
+            part = base.mapInArrow(search(tile), f"qid {qkind}, id {kind}, score double")
+            near, tile = part if near is None else near.union(part), []
+    if near is None:
+        near = vectors.sparkSession.createDataFrame([], f"qid {qkind}, id {kind}, score double")
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -93,6 +126,18 @@ def rerank(hits: DataFrame, text: str, score: Callable[[list[str]], Sequence[flo
     return out if k is None else out.where(F.col("rank") <= k)
 
 
+_models: dict[tuple, object] = {}
+
+
+def ranker(make: Callable[..., object], name: str, max_length: int) -> object:
+    """The model that make(name, max_length) gives, made once in each process and kept until another is asked for."""
+    key = (name, max_length)
+    if key not in _models:
+        _models.clear()
+        _models[key] = make(name, max_length)
+    return _models[key]
+
+
 def overlap_score(query: str) -> Callable[[list[str]], list[float]]:
     """A scorer without a model: the share of the query's words that a text has."""
     want = set(query.lower().split())

@@ -1,23 +1,27 @@
 """Queries of the retrieval engine by name, each with the SQL that gives the same rows.
 
 Documents and vectors are different entities in the test tables; where a query
-needs both, doc_id is paired with vec_id.
+needs both, doc_id is paired with vec_id.  Queries of collections ingest the whole table
+of documents, one chunk each, into a collection in the shared folder.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loam import config
+from loam.collection import Collection, format_hits
 from loam.functions import text as T
-from loam.functions.vectors import cosine_to
 from loam.operators import dedup as D
 from loam.operators import keyword as KW
 from loam.operators import search as S
 from loam.operators.chunking import chunk_documents
+from loam.shared import shared_path
 from loam.sources import html as H
+from loam.sources import loaders as L
 
 TERMS = ["the", "heed", "ouhe", "the"]
 QUERY = [0.125] * 64
@@ -103,50 +107,58 @@ def term_df_topk(spark, d):
     return _index(spark, d).terms.orderBy(F.desc("df"), "term").limit(50)
 
 
-_COS = "round(coalesce(list_cosine_similarity(embedding::double[], list_resize([]::double[], 64, 0.125e0)), 0), 6)"
-_KNN = f"select vec_id, round(score, 6) as score, rank from (select vec_id, {_COS} as score, row_number() over (order by {_COS} desc, vec_id) as rank from embeddings %s) where rank <= %d"
+_COS = "coalesce(list_cosine_similarity(embedding::double[], list_resize([]::double[], 64, 0.125e0)), 0)"
+_KNN = f"select vec_id, round(score, 6) as score, rank from (select vec_id, {_COS} as score, row_number() over (order by round({_COS}, 12) desc, vec_id) as rank from embeddings %s) where rank <= %d"
 
 
-def _rounded(spark, d):
-    return table(spark, d, "embeddings").withColumn("score", F.round(cosine_to(F.col("embedding"), QUERY), 6))
-
-
-def _ranked(df, k, *by):
-    w = Window.partitionBy(*by).orderBy(F.desc("score"), "vec_id")
-    return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+def _near(hits: DataFrame, *by: str) -> DataFrame:
+    return hits.select(*by, F.col("id").alias("vec_id"), F.round("score", 6).alias("score"), "rank")
 
 
 @query(_KNN % ("", 20))
 def cosine_topk(spark, d):
-    best = _rounded(spark, d).select("vec_id", "score").orderBy(F.desc("score"), "vec_id").limit(20)
-    return _ranked(best, 20)
+    return _near(S.knn(table(spark, d, "embeddings"), "vec_id", "embedding", QUERY, 20))
 
 
 @query(_KNN % ("where label = 3", 10))
 def cosine_topk_filtered(spark, d):
-    best = _rounded(spark, d).where("label = 3").select("vec_id", "score").orderBy(F.desc("score"), "vec_id").limit(10)
-    return _ranked(best, 10)
+    return _near(S.knn(table(spark, d, "embeddings"), "vec_id", "embedding", QUERY, 10, F.col("label") == 3))
 
 
-@query(f"select label, vec_id, score, rank from (select label, vec_id, {_COS} as score, row_number() over (partition by label order by {_COS} desc, vec_id) as rank from embeddings) where rank <= 3")
+@query(f"select label, vec_id, round(score, 6) as score, rank from (select label, vec_id, {_COS} as score, row_number() over (partition by label order by round({_COS}, 12) desc, vec_id) as rank from embeddings) where rank <= 3")
 def cosine_topk_per_label(spark, d):
-    return _ranked(_rounded(spark, d).select("label", "vec_id", "score"), 3, "label")
+    return _near(S.knn_by(table(spark, d, "embeddings"), "vec_id", "embedding", QUERY, 3, "label"), "label")
+
+
+_Q20 = "select q.vec_id as qid, v.vec_id, list_cosine_similarity(v.embedding::double[], q.embedding::double[]) as c from embeddings v, embeddings q where q.vec_id % 20 = 0"
+
+
+@query(f"select qid, vec_id, round(c, 6) as score, rank from (select *, row_number() over (partition by qid order by round(c, 12) desc, vec_id) as rank from ({_Q20})) where rank <= 5")
+def cosine_topk_per_vector(spark, d):
+    v = table(spark, d, "embeddings")
+    # every row whose id is divisible by 20, against all rows
+    return _near(S.knn_all(v, "vec_id", "embedding", v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), "embedding"), 5), "qid")
+
+
+_L2 = "list_sum(list_transform(embedding::double[], lambda x: -(x - 0.125e0) * (x - 0.125e0)))"
+
+
+@query(f"select vec_id, round({_L2}, 6) as score, row_number() over (order by round({_L2}, 12) desc, vec_id) as rank from embeddings qualify rank <= 20")
+def l2_topk(spark, d):
+    return _near(S.knn(table(spark, d, "embeddings"), "vec_id", "embedding", QUERY, 20, distance="l2"))
 
 
 _LISTS = f"""
 {_BM25}, {_BAG}, {_PLUS}, {_HITS}, {_FULL},
-kw as (select id, row_number() over (order by round(score, 6) desc, id) as rank from s qualify rank <= 50),
-vec as (select vec_id as id, row_number() over (order by {_COS} desc, vec_id) as rank from embeddings qualify rank <= 50),
+kw as (select id, row_number() over (order by round(score, 9) desc, id) as rank from s qualify rank <= 50),
+vec as (select vec_id as id, row_number() over (order by round({_COS}, 12) desc, vec_id) as rank from embeddings qualify rank <= 50),
 fused as (select id, sum(case list when 0 then wv else wk end / (60 + rank)) as score, min(list * 1000000 + rank) as first
           from (select 0 as list, * from vec union all select 1, * from kw), (select %s as wv, %s as wk) group by id),
 f as (select id, round(score, 9) as score, row_number() over (order by score desc, first) as rank from fused)"""
 
 
 def _lists(spark, d):
-    kw = _shown(KW.search(_index(spark, d), TERMS, 50)).select(F.col("doc_id").alias("id"), "score")
-    kw = kw.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
-    vec = _rounded(spark, d).select(F.col("vec_id").alias("id"), "score").orderBy(F.desc("score"), "id").limit(50)
-    return vec.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id"))), kw
+    return S.knn(table(spark, d, "embeddings"), "vec_id", "embedding", QUERY, 50), KW.search(_index(spark, d), TERMS, 50)
 
 
 def _fused(df):
@@ -169,18 +181,94 @@ def hybrid_post_filtered(spark, d):
     return _fused(S.hybrid(*_lists(spark, d), 20)).join(docs, "doc_id").where(F.col("source").contains("src1")).drop("source")
 
 
-@query(f"{_BM25}, {_BAG}, {_PLUS}, {_HITS}, {_FULL}, n50 as (select id, score, row_number() over (order by round(score, 9) desc, id) as rank from s qualify rank <= 50) select id as doc_id, round(n50.score, 6) as score, row_number() over (order by rank) as rank from n50 join documents on doc_id = id where contains(source, 'src1')")
+_collections: dict[tuple[str, str], Collection] = {}
+
+
+def _collection(spark, d) -> Collection:
+    """The documents as a collection, one chunk each; made once in a session, as it is only read."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _collections:
+        settings = config.Settings(chunk_size=1 << 30, near_dedup_enabled=False, search_mode="keyword", bm25_language="none", bm25_stemmed=False)
+        made = Collection(spark, shared_path(spark, "collections"), "documents", settings)
+        made.add(table(spark, d, "documents").select(_PATH.alias("path"), F.col("text").alias("content")))
+        _collections[key] = made
+    return _collections[key]
+
+
+_PATH = F.concat(F.col("source"), F.lit("/"), F.lpad(F.col("doc_id").cast("string"), 9, "0"))
+# what the collection holds: of equal texts the first by path
+_STORED = """stored as (select doc_id, source || '/' || lpad(doc_id::varchar, 9, '0') as path, text, sha256(text) as hash, source as folder from documents where trim(text) <> ''
+qualify row_number() over (partition by text order by source || '/' || lpad(doc_id::varchar, 9, '0'), doc_id) = 1)"""
+_STEMLESS = r"""list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda w: length(w) > 1)"""
+
+
+@query(f"with {_STORED} select count(*) as chunks, count(distinct path) as documents from stored")
+def collection_stats(spark, d):
+    s = _collection(spark, d).stats()
+    return spark.createDataFrame([(s["chunks"], s["documents"])], "chunks long, documents long")
+
+
+@query(f"with {_STORED} select path as source from stored")
+def list_sources(spark, d):
+    return _collection(spark, d).sources().select("source")
+
+
+@query(f"with {_STORED} select sha256(string_agg(hash || '_0', ',' order by hash || '_0')) as state from stored")
+def state_hash(spark, d):
+    return spark.createDataFrame([(_collection(spark, d).state(),)], "state string")
+
+
+@query(f"with {_STORED} select path as source, row_number() over (order by path) - 1 as bm25_id from stored")
+def collection_ids(spark, d):
+    return _collection(spark, d).rows().select("source", "bm25_id")
+
+
+@query(f"with {_STORED} select conv_id, turn from conversations where trim(text) <> '' and sha256(text) not in (select hash from stored)")
+def document_gate(spark, d):
+    """What an ingest would keep of turns, each a document of its own: those that the collection hasn't seen, once."""
+    turns = table(spark, d, "conversations").select("conv_id", "turn", T.content_hash(F.col("text")).alias("hash"), "text").where(~T.is_blank(F.col("text")))
+    return D.unseen(turns, _collection(spark, d).rows().select("hash")).select("conv_id", "turn")
+
+
+_FOUND = f"""with {_STORED}, docs as (select path as id, {_STEMLESS} as w from stored),
+stats as (select count(*)::double as n, avg(len(w)) as avgdl from docs), lengths as (select id, len(w) as dl from docs),
+postings as (select term, id, count(*) as tf from (select id, unnest(w) as term from docs) group by all),
+terms as (select term, count(*) as df from postings group by term), bag as (select 0 as qid, * from (values ('heed', 1), ('ouhe', 1)) v(term, qtf)), {_PLUS}, {_HITS}, {_FULL},
+n100 as (select id, score, row_number() over (order by round(score, 9) desc, id) as rank from s qualify rank <= 100)"""
+
+
+@query(f"{_FOUND} select id as source, round(score, 6) as score, rank from n100 where rank <= 20")
+def collection_keyword_search(spark, d):
+    return _collection(spark, d).search("heed Ouhe", top_k=20).select("source", F.round("score", 6).alias("score"), "rank")
+
+
+@query(f"{_FOUND} select id as source, round(score, 6) as score, row_number() over (order by n100.rank) as rank from n100 where contains(id, 'src1') qualify row_number() over (order by n100.rank) <= 20")
 def keyword_filtered_contains(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "source")
-    hits = _shown(KW.search(_index(spark, d), TERMS, 50)).join(docs, "doc_id").where(F.col("source").contains("src1"))
-    return hits.select("doc_id", "score", F.row_number().over(Window.orderBy("rank")).alias("rank"))
+    hits = _collection(spark, d).search("heed Ouhe", top_k=20, filters={"source_contains": "src1"})
+    return hits.select("source", F.round("score", 6).alias("score"), "rank")
 
 
-@query()
+@query(f"{_FOUND} select string_agg('[Document ' || rank || ' - ' || id || ']' || chr(10) || regexp_replace(text, '^\\s+|\\s+$', '', 'g'), chr(10) || chr(10) order by rank) as shown from n100 join stored on path = id where rank <= 5")
+def format_results(spark, d):
+    return format_hits(_collection(spark, d).search("heed Ouhe", top_k=5)).withColumnRenamed("text", "shown")
+
+
+@query(f"""with recursive near as ({_KNN % ("", 20)}), c as materialized (select near.vec_id, near.rank, {_COS} as rel, embedding::double[] as v from near join embeddings using (vec_id)),
+step as (select 1 as n, [arg_min(vec_id, rank)] as chosen from c where rel = (select max(rel) from c)
+union all select n + 1, list_append(chosen, (select c.vec_id from c where not list_contains(chosen, c.vec_id)
+  order by round(0.5e0 * rel - 0.5e0 * (select max(list_cosine_similarity(c.v, o.v)) from c o where list_contains(chosen, o.vec_id)), 12) desc, c.rank limit 1)) from step where n < 20)
+select unnest(chosen) as vec_id, unnest(range(1, 21)) as rank from (select chosen from step where n = 20)""")
 def mmr_rerank(spark, d):
-    best = _rounded(spark, d).orderBy(F.desc("score"), "vec_id").limit(20)
-    best = best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "vec_id")))
-    return S.mmr(best, "embedding", QUERY, balance=0.5).select("vec_id", "score", "rank")
+    v = table(spark, d, "embeddings")
+    best = S.knn(v, "vec_id", "embedding", QUERY, 20).join(v, F.col("id") == F.col("vec_id")).select("vec_id", "embedding", "score", "rank")
+    return S.mmr(best, "embedding", QUERY, balance=0.5).select("vec_id", F.col("rank").cast("long").alias("rank"))
+
+
+@query(r"""select doc_id, round(len(list_filter(list_distinct(string_split(lower(text), ' ')), lambda w: w in ('the', 'heed', 'ouhe'))) / 3, 6) as rerank_score, row_number() over (order by len(list_filter(list_distinct(string_split(lower(text), ' ')), lambda w: w in ('the', 'heed', 'ouhe'))) desc, doc_id) as rank
+from (select doc_id, regexp_replace(text, '\s+', ' ', 'g') as text from documents)""")
+def rerank_overlap(spark, d):
+    hits = table(spark, d, "documents").select("doc_id", "text", F.col("doc_id").alias("rank"))
+    return S.rerank(hits, "text", S.overlap_score("the heed ouhe")).select("doc_id", F.round("rerank_score", 6).alias("rerank_score"), F.col("rank").cast("long").alias("rank"))
 
 
 def _re(patterns):
@@ -206,12 +294,6 @@ def exact_dedup_keep_first(spark, d):
     return D.first_occurrence(docs, "hash", "doc_id")
 
 
-@query("select conv_id, turn from conversations where sha256(text) not in (select sha256(text) from documents)")
-def seen_hash_antijoin(spark, d):
-    h = T.content_hash(F.col("text")).alias("hash")
-    return D.unseen(table(spark, d, "conversations").select("conv_id", "turn", h), table(spark, d, "documents").select(h)).select("conv_id", "turn")
-
-
 def _minhash_sql() -> str:
     a, b = D.permutations(16)
     sig = ", ".join(f"min((h * {x} + {y}) % {D.PRIME}) as m{i}" for i, (x, y) in enumerate(zip(a, b)))
@@ -220,9 +302,9 @@ sh as (select distinct doc_id, unnest(case when len(w) < 3 then w else list_tran
 h as (select doc_id, ('0x' || substr(sha256(s), 1, 8))::bigint as h from sh), sig as (select doc_id, {sig} from h group by doc_id)"""
 
 
-@query(_minhash_sql() + " select doc_id, concat_ws(',', " + ", ".join(f"m{i}" for i in range(16)) + ") as sig from sig")
+@query(_minhash_sql() + " select doc_id, '[' || concat_ws(',', " + ", ".join(f"m{i}" for i in range(16)) + ") || ']' as sig from sig")
 def minhash_signature(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.array_join(D.signature(F.col("text"), 16).cast("array<string>"), ",").alias("sig"))
+    return D.signatures(table(spark, d, "documents"), "doc_id", "text", 16).select("doc_id", F.to_json("sig").alias("sig"))
 
 
 def _verdict_sql() -> str:
@@ -238,22 +320,6 @@ def near_dedup_verdict(spark, d):
     return D.dedup(table(spark, d, "documents").select("doc_id", "text"), "text", "doc_id", threshold=0.5, num_perm=16).select("doc_id", "exact_dup", "near_dup")
 
 
-@query("select count(*) as chunks, count(distinct source) as sources, count(distinct text) as texts from documents")
-def collection_stats(spark, d):
-    return table(spark, d, "documents").agg(F.count("*").alias("chunks"), F.countDistinct("source").alias("sources"), F.countDistinct("text").alias("texts"))
-
-
-@query("select distinct source from documents order by source")
-def list_sources(spark, d):
-    return table(spark, d, "documents").select("source").distinct().orderBy("source")
-
-
-@query("select sha256(string_agg(doc_id::varchar, ',' order by doc_id::varchar)) as state from documents")
-def state_hash(spark, d):
-    ids = F.array_sort(F.collect_list(F.col("doc_id").cast("string")))
-    return table(spark, d, "documents").agg(F.sha2(F.array_join(ids, ","), 256).alias("state"))
-
-
 _GIVEN = "case when doc_id % 3 = 0 then doc_id end"
 
 
@@ -273,14 +339,6 @@ def contextual_header(spark, d):
     return table(spark, d, "documents").select("doc_id", T.contextual_header(F.col("source"), F.col("text")).alias("headed"))
 
 
-@query("select string_agg('[Document ' || (doc_id + 1) || ' - ' || source || ']' || chr(10) || case when length(text) > 500 then substr(text, 1, 500) || '...' else text end, chr(10) || chr(10) order by doc_id) as shown from documents where doc_id < 5")
-def format_results(spark, d):
-    from loam.collection import format_hits
-
-    docs = table(spark, d, "documents").where("doc_id < 5").select((F.col("doc_id") + 1).alias("rank"), "source", T.truncated(F.col("text")).alias("text"))
-    return format_hits(docs).withColumnRenamed("text", "shown")
-
-
 @query()
 def chunk_documents_all(spark, d):
     return chunk_documents(table(spark, d, "documents").select("doc_id", "text"))
@@ -294,29 +352,55 @@ def ingest_end_to_end(spark, d):
     return plan_chunks(docs).select("chunk_id", "source", "chunk_index", "hash")
 
 
-@query()
+_TEXT = "html"
+for _tag in sorted(H.DROPPED):
+    _TEXT = f"regexp_replace({_TEXT}, '(?is)<{_tag}[^>]*>.*?</{_tag}>', '', 'g')"
+_PLAIN = "x"
+for _code, _sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "''"), ("&#39;", "''"), ("&amp;", "&")):
+    _PLAIN = f"replace({_PLAIN}, '{_code}', '{_sign}')"
+_NODES = f"regexp_split_to_array(regexp_replace({_TEXT}, '(?s)<!--.*?-->', '', 'g'), '<[^>]*>')"
+
+
+@query(f"select page_id, array_to_string(list_filter(list_transform({_NODES}, lambda x: regexp_replace({_PLAIN}, '^\\s+|\\s+$', '', 'g')), lambda x: x <> ''), chr(10)) as text from pages")
 def html_text(spark, d):
     return table(spark, d, "pages").select("page_id", H.text(F.col("html")).alias("text"))
 
 
-@query("select page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) as href from pages")
-def page_links(spark, d):
-    return table(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)).alias("href"))
+_HREFS = "select page_id, url, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) as href from pages"
+_ABSOLUTE = "regexp_extract(url, '^(https?://[^/?#]+)', 1) || regexp_replace(href, '[?#].*$', '')"
 
 
-@query()
-def url_normalise(spark, d):
+@query(f"select distinct page_id, {_ABSOLUTE} as link from ({_HREFS})")
+def page_links(spark, d):
     return table(spark, d, "pages").select("page_id", F.explode(H.links(F.col("html"), F.col("url"), keep_navigation=True)).alias("link"))
 
 
-@query()
+#: Pages that link each other, since those of the table have no links to one another: (page, links)
+EDGES = [("/a/", ["b", "/a/c?x=1", "http://other.test/z"]), ("/a/b", ["d#top", "/out"]), ("/a/c", ["./", "e/index.html"]), ("/a/d", ["f"]), ("/a/e/", ["/a/b"]), ("/a/f", ["g"]), ("/a/g", []), ("/out", [])]
+_PAGES = " union all ".join(f"select 'http://h.test{p}' as page, '{x}' as target" for p, to in (("/a/", ("/a/b", "/a/c")), ("/a/b", ("/a/d",)), ("/a/c", ("/a/", "/a/e/")), ("/a/d", ("/a/f",)), ("/a/e/", ("/a/b",)), ("/a/f", ("/a/g",))) for x in to)
+
+
+@query(f"""with recursive links as ({_PAGES}), reached as (select 'http://h.test/a/' as url, 0 as depth union select 'http://h.test' || target, depth + 1 from reached join links on page = url where depth < 3)
+select url, min(depth)::int as depth from reached group by url union all select distinct regexp_replace(regexp_replace(regexp_replace(url, '[?#].*$', ''), '/index[.]html?$', '/'), '^(https?://[^/]+)$', '\\1/'), 0 from pages""")
 def crawl_frontier(spark, d):
-    pages = table(spark, d, "pages")
-    seeds = pages.where("page_id < 20").select("url")
-    return H.crawl(pages, seeds)
+    """Every page of the table as a seed of its own, and a site whose pages link each other."""
+    pages = table(spark, d, "pages").select("url", "html")
+    site = spark.createDataFrame([(f"http://h.test{p}", "".join(f'<a href="{x}">x</a>' for x in to)) for p, to in EDGES], "url string, html string")
+    seeds = pages.select("url").union(spark.createDataFrame([("http://h.test/a/**",)], "url string"))
+    return H.crawl(pages.union(site), seeds).select("url", "depth")
 
 
-@query("select event_id, json_extract_string(props, '$.' || k) as value, k as name from (select event_id, props, unnest(json_keys(props)) as k from events)")
-def json_fanout(spark, d):
+@query("select event_id, value, name from (select event_id, k as name, json_extract_string(props, '$.' || k) as value from (select event_id, props, unnest(json_keys(props)) as k from events)) where value <> ''")
+def json_properties(spark, d):
     e = table(spark, d, "events").select("event_id", F.explode(F.from_json("props", "map<string,string>")).alias("name", "value"))
-    return e.select("event_id", "value", "name")
+    return e.where("value <> ''").select("event_id", "value", "name")
+
+
+@query("select 'c' || conv_id || '/' || turn as path, text as content from conversations where text <> '' union all select 'd' || doc_id, text from documents")
+def json_fanout(spark, d):
+    """Conversations as arrays of {path, contents}, and documents, which are no arrays."""
+    item = F.struct(F.col("turn").cast("string").alias("path"), F.col("text").alias("contents"))
+    raw = table(spark, d, "conversations").groupBy("conv_id").agg(F.to_json(F.collect_list(item)).alias("content"))
+    raw = raw.select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("path"), "content")
+    docs = table(spark, d, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path"), F.col("text").alias("content"))
+    return L.fan_out(raw.union(docs))

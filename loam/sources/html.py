@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loam.shared import cut
+
 DROPPED = frozenset(("script", "style", "nav", "header", "footer", "aside"))
 
 
@@ -106,11 +108,13 @@ def crawl(pages: DataFrame, seeds: DataFrame, *, depth: int = 3, max_pages: int
 
     at = found.select(cleaned("url").alias("at"), "html", "links")
     front = seeds.select(cleaned("url").alias("url"), F.col("url").alias("seed"), scoped("url").alias("scope"), F.lit(0).alias("depth")).distinct()
-    seen = front
+    seen = front = cut(front, "front")
     for level in range(1, depth + 1):
         j = front.join(at, front["url"] == at["at"]).select(F.explode("links").alias("url"), "seed", "scope")
         j = j.where((F.parse_url("url", F.lit("HOST")) == F.col("scope.host")) & F.startswith(F.parse_url("url", F.lit("PATH")), F.col("scope.prefix"))).distinct()
         front = j.join(seen.select("url", "seed"), ["url", "seed"], "left_anti").withColumn("depth", F.lit(level)).select(*seen.columns)
+        # each level is made once, not again for each after it
+        front = cut(front, "front")
         seen = seen.union(front)
     out = seen.join(at, seen["url"] == at["at"]).select("url", "depth", "seed", text(F.col("html")).alias("text"))
     if max_pages is not None:

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loam.shared import shared_path
+
 from . import html as H
 
 SCHEMA = "path string, content string"
@@ -127,9 +129,12 @@ def concatenated(docs: DataFrame) -> DataFrame:
 def read_git(spark: SparkSession, path: str, *, pattern: str | None = None) -> DataFrame:
     """The text files of a repository: a folder, or a remote one, cloned at depth 1."""
     if is_remote_git(path):
-        to = tempfile.mkdtemp(prefix="loam-git-")
-        subprocess.run(["git", "clone", "--depth", "1", "--", path, to], check=True, capture_output=True, timeout=300)
-        path = to
+        # cloned on the driver's machine, then put where all executors can read it
+        with tempfile.TemporaryDirectory(prefix="loam-git-") as to:
+            subprocess.run(["git", "clone", "--depth", "1", "--", path, to], check=True, capture_output=True, timeout=300)
+            path = shared_path(spark, "git")
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).copyFromLocalFile(spark._jvm.org.apache.hadoop.fs.Path(to), at)
     files = read_text(spark, path, pattern=pattern, recursive=True, binary="skip")
     return files.where(~F.col("path").contains("/.git/"))
 
@@ -180,13 +185,22 @@ def load(spark: SparkSession, path: str, loaders: dict[str, str], *, pages: Data
     return read_text(spark, path)
 
 
-def missing_programs(loaders: dict[str, str]) -> dict[str, str]:
-    """Loaders whose program isn't installed, with how to get it."""
-    out = {}
-    for name, template in loaders.items():
-        program = (shlex.split(template) or [""])[0]
-        if shutil.which(program) is None:
-            out[name] = HINTS.get(program, f"install {program}")
+def load_multi(spark: SparkSession, paths: list[str], loaders: dict[str, str], *, pages: DataFrame | None = None) -> DataFrame:
+    """The documents of all paths, by ``load``."""
+    out = spark.createDataFrame([], SCHEMA)
+    for path in paths:
+        out = out.union(load(spark, path, loaders, pages=pages))
     return out
 
 
+def dependencies(loaders: dict[str, str]) -> dict[str, bool]:
+    """The loaders' programs, and whether each is installed."""
+    programs = {(shlex.split(template) or [""])[0] for template in loaders.values()}
+    return {p: shutil.which(p) is not None for p in sorted(programs)}
+
+
+def missing_programs(loaders: dict[str, str]) -> dict[str, str]:
+    """Loaders whose program isn't installed, with how to get it."""
+    there = dependencies(loaders)
+    programs = {name: (shlex.split(template) or [""])[0] for name, template in loaders.items()}
+    return {name: HINTS.get(p, f"install {p}") for name, p in programs.items() if not there[p]}
