@@ -59,6 +59,30 @@ def test_quality_threshold(spark):
         assert quality.threshold(keys, k) == np.sort(x)[-k]
 
 
+def test_quality_models_against_brute_force(spark):
+    docs = frame(spark, [prose(rng.randint(1, 40)) for _ in range(120)])
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(120)], "doc_id long, quality int, toxic int")
+    role = {r.doc_id: r.role for r in quality._roles(labels, 1000).collect()}
+    raw, target = np.zeros(quality.SIZE), np.zeros(quality.SIZE)
+    for r in docs.collect():
+        h = [int(x) for x in K.hash_words(r.text)]
+        one = K.Words(np.array(h, K.U64), None, None, np.array([0, len(h)]))
+        two = one.ngrams(2)[0][: len(h) - 1].tolist()
+        for b in [x % quality.ONE for x in h] + [quality.ONE + x % quality.TWO for x in two]:
+            raw[b] += 1
+            target[b] += role[r.doc_id] == 1
+    want = np.zeros(quality.SIZE)
+    for part in (slice(0, quality.ONE), slice(quality.ONE, quality.SIZE)):
+        want[part] = np.log((target[part] + 1) / (raw[part] * target[part].sum() / raw[part].sum() + 1))
+    assert np.allclose(quality.fit(docs, labels).ratio, want, atol=1e-5)
+    # the k largest keys of all are the sample
+    weight = quality.score_column(quality.fit(docs, labels))
+    rows = docs.select("doc_id", weight("text").alias("w"), quality._gumbel(F.col("doc_id"), 1).alias("g")).collect()
+    k = sum(r.w >= np.log(0.5) for r in rows)
+    best = sorted(rows, key=lambda r: -(r.w / 0.2 + r.g))[:k]
+    assert {r.doc_id for r in quality.quality_sample(docs, labels).collect()} == {r.doc_id for r in best}
+
+
 def test_quality_edges(spark, edges):
     none = spark.createDataFrame([(None, 1, 0), (1, None, 0), (77, 1, 0)], "doc_id long, quality int, toxic int")
     got = quality.select_quality(edges, none)
@@ -132,6 +156,28 @@ def test_decontamination_recall(spark):
     assert {r.doc_id for r in decontam.drop_leaks(frame(spark, texts), benchmark, per_pass=15).collect()} == set(range(240)) - {d for d, _ in got}
 
 
+def test_decontamination_against_brute_force(spark):
+    # every item against every passage without a latent space
+    items = [prose(rng.randint(15, 50)) for _ in range(20)]
+    texts = [prose(rng.randint(5, 150)) for _ in range(30)]
+    for i, t in enumerate(items * 2):
+        words = [rng.choice(VOCABULARY) if rng.random() < i / 80 else w for w in t.split()]
+        texts.append(f"{prose(rng.randint(0, 60))} {' '.join(words)} {prose(rng.randint(0, 60))}")
+    want = set()
+    for d, t in enumerate(texts):
+        w = K.slow_words(t)
+        for i, x in enumerate(items):
+            x = K.slow_words(x)
+            tail = x[-max(1, len(x) // 4) :]
+            for at in range(0, max(1, len(w) - 16), 16):
+                part = w[max(0, at - len(x)) : at + 32 + len(x)]
+                share = slow_lcs(part, x) / len(x)
+                if share >= 0.7 or share >= 0.6 and slow_lcs(part, tail) >= 0.75 * len(tail):
+                    want.add((d, i))
+    got = {(r.doc_id, r.item_id) for r in decontam.leaks(frame(spark, texts), spark.createDataFrame([*enumerate(items)], "item_id long, text string")).collect()}
+    assert got <= want and len(got) >= 0.95 * len(want) > 20
+
+
 def test_decontamination_edges(spark, edges):
     benchmark = spark.createDataFrame([(1, "two words")], "item_id long, text string")
     assert decontam.drop_leaks(edges, benchmark).columns == edges.columns
@@ -241,6 +287,33 @@ def test_licenses(spark, edges):
     assert licenses.scan_licenses(edges).count() == 0 and licenses.scan_licenses(edges.limit(0)).count() == 0
 
 
+def test_licenses_side_by_side(spark):
+    texts = ["Released under the MIT License. " * 3, licenses.TEMPLATES["BSD-3-Clause"] + prose(10) + " " + licenses.TEMPLATES["GPL-2.0"], licenses.TEMPLATES["GPL-2.0"][:3000]]
+    got = licenses.scan_licenses(frame(spark, texts)).orderBy("doc_id", "start_word").collect()
+    assert [(r.license, r.start_word, r.end_word) for r in got if r.doc_id == 0] == [("MIT-notice", 5 * i, 5 * i + 5) for i in range(3)]
+    assert [r.license for r in got if r.doc_id == 1] == ["BSD-3-Clause", "GPL-2.0"] and not [r for r in got if r.doc_id == 2 and r.license == "GPL-2.0"]
+
+
+def test_licenses_against_whole_alignment(spark):
+    # every template against every text without fingerprints or band
+    templates = {f"t{i}": prose(n) for i, n in enumerate((12, 25, 40, 60))}
+    texts = []
+    for i in range(60):
+        words = [rng.choice(VOCABULARY) if rng.random() < 0.08 else w for w in templates[f"t{i % 4}"].split() if rng.random() > 0.06]
+        texts.append(f"{prose(rng.randint(0, 30))} {' '.join(words)} {prose(rng.randint(0, 30))}")
+    texts += [prose(80) for _ in range(10)]
+    want = set()
+    for d, t in enumerate(texts):
+        w = K.hash_words(t).tolist()
+        for name, x in templates.items():
+            x = K.hash_words(x).tolist()
+            n, _, _ = licenses.align(x, w, 0, len(w) + len(x))
+            if n >= 0.8 * len(x):
+                want.add((d, name, n))
+    got = {(r.doc_id, r.license, r.matched) for r in licenses.scan_licenses(frame(spark, texts), templates).collect()}
+    assert len(want) > 40 and len(got & want) >= 0.95 * len(want) and {x[:2] for x in got} <= {x[:2] for x in want}
+
+
 def test_warc_ranges(spark, tmp_path):
     bodies = [bytes(rng.randrange(256) for _ in range(rng.randint(0, 3000))) + warc.MAGIC * 3 for _ in range(40)] + [b"", b"x" * 300_000]
     path = str(tmp_path / "a.warc.gz")
@@ -295,6 +368,30 @@ def test_substring(spark, edges):
     assert substring.repeated_passages(edges).where("doc_id <> 6").count() == 0 and substring.repeated_passages(edges.limit(0)).count() == 0
 
 
+def test_substring_against_brute_force(spark):
+    # words of runs of 52 that an earlier text has must go, words without a run of 8 in another text must stay
+    passages = [prose(rng.randint(60, 120)) for _ in range(8)]
+    texts = [" ".join([prose(rng.randint(0, 90)), *rng.sample(passages, rng.randint(0, 2)), prose(rng.randint(20, 90))]) for _ in range(60)]
+    words = [K.slow_words(t) for t in texts]
+
+    def runs(n):
+        seen = {}
+        for d, w in enumerate(words):
+            for i in range(len(w) - n + 1):
+                seen.setdefault(tuple(w[i : i + n]), set()).add(d)
+        return seen
+
+    must, may = set(), set()
+    for n, out in ((52, must), (8, may)):
+        seen = runs(n)
+        for d, w in enumerate(words):
+            for i in range(len(w) - n + 1):
+                if min(seen[tuple(w[i : i + n])]) < d or n == 8 and len(seen[tuple(w[i : i + n])]) > 1:
+                    out.update((d, j) for j in range(i, i + n))
+    gone = {(r.doc_id, j) for r in substring.repeated_passages(frame(spark, texts)).where("not keep").collect() for j in range(r.start_word, r.end_word)}
+    assert len(gone & must) >= 0.97 * len(must) > 1000 and len(gone - may) <= 0.02 * len(gone)
+
+
 def test_fingerprints(spark, edges):
     texts = ["a\nb\nb", "b\na\nb", "a\nb", " a \n\nb\nb", None, ""]
     r = fingerprint.fingerprints(frame(spark, texts)).orderBy("doc_id").collect()
