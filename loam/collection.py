@@ -213,10 +213,18 @@ class Collection:
         """The version's postings, stored when they are first asked for."""
         v, manifest = self._manifest()
         if self._keyword is None or self._keyword[0] != v:
-            at = f"{self.path}/index/{v:08d}-{self.settings.bm25_language or 'auto'}{'' if self.settings.bm25_stemmed else '-whole'}"
-            if not all(self._fs.exists(self._jvm.Path(f"{at}/{x}/_SUCCESS")) for x in ("postings", "lengths")):
-                self._fs.delete(self._jvm.Path(at), True)
-                KW.store(KW.build(self._read(manifest), "bm25_id", self._tokens(F.col("text"))), at)
+            kind = f"{v:08d}-{self.settings.bm25_language or 'auto'}{'' if self.settings.bm25_stemmed else '-whole'}"
+            folder = f"{self.path}/index"
+
+            def whole(name: str) -> bool:
+                return all(self._fs.exists(self._jvm.Path(f"{folder}/{name}/{x}/_SUCCESS")) for x in ("postings", "lengths"))
+
+            # each writer has a folder of its own, so that some may be at it at once; any whole one will do
+            name = next((n for n in self._names(folder) if n.startswith(f"{kind}@") and whole(n)), None)
+            if name is None:
+                name = f"{kind}@{uuid.uuid4().hex}"
+                KW.store(KW.build(self._read(manifest), "bm25_id", self._tokens(F.col("text"))), f"{folder}/{name}")
+            at = f"{folder}/{name}"
             self._keyword = v, KW.stored(self.spark, at)
         return self._keyword[1]
 
