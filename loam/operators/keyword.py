@@ -58,16 +58,25 @@ class Index:
 
     size = n
 
-    def matched(self, terms: DataFrame, few: list[str] | None) -> DataFrame:
-        """(term, id, tf, dl) of the given terms; few are the same on the driver, where there are few."""
+    def read(self, terms: DataFrame, few: list[str] | None) -> tuple[DataFrame, DataFrame, int, float]:
+        """(term, id, tf, dl) of the given terms, (id, dl), n and the mean length; few are the terms on the driver, where there are few.
+
+        Texts are split into words once, or once more for the lengths where terms are many."""
+        if self.docs is None:
+            return self._matched(terms, few), self.lengths, self.n, self.avgdl
+        if few is None:
+            return cut(self._matched(terms, few), "hits"), self.lengths, self.n, self.avgdl
+        # within each row: nothing is shuffled
+        mine = self.docs.select("id", F.size("tokens").alias("dl"), F.filter("tokens", lambda t: t.isin(few)).alias("f"))
+        pairs = F.transform(F.array_distinct("f"), lambda t: F.struct(t.alias("term"), F.size(F.filter("f", lambda x: x == t)).cast("long").alias("tf")))
+        mine = cut(mine.select("id", "dl", pairs.alias("found")), "found")
+        n, avgdl = mine.agg(F.count("*"), F.avg("dl")).first()
+        return mine.select("id", "dl", F.inline("found")).select("term", "id", "tf", "dl"), mine.select("id", "dl"), n, avgdl or 0.0
+
+    def _matched(self, terms: DataFrame, few: list[str] | None) -> DataFrame:
         if self.docs is None:
             rows = self.stored.where(F.col("term").isin(few) & F.col("bucket").isin(sorted(_buckets(self.stored, few)))) if few is not None else self.stored.join(terms, "term", "left_semi")
             return rows.select("term", "id", "tf", "dl")
-        if few is not None:
-            # within each row: nothing is shuffled
-            mine = self.docs.select("id", F.size("tokens").alias("dl"), F.filter("tokens", lambda t: t.isin(few)).alias("f")).where(F.size("f") > 0)
-            pairs = F.transform(F.array_distinct("f"), lambda t: F.struct(t.alias("term"), F.size(F.filter("f", lambda x: x == t)).cast("long").alias("tf")))
-            return mine.select("id", "dl", F.inline(pairs)).select("term", "id", "tf", "dl")
         rows = self.docs.select("id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(terms, "term", "left_semi")
         return rows.groupBy("id", "dl", "term").agg(F.count("*").alias("tf")).select("term", "id", "tf", "dl")
 
@@ -113,9 +122,9 @@ def search_all(index: Index, queries: DataFrame, k: int, *, variant: str = "plus
     rows, size = bag.agg(F.count("*"), F.sum(48 + F.length("term") * 2)).first()
     some = bag.select("term").distinct().limit(FEW + 1).collect() if rows <= 4 * FEW else [None] * (FEW + 1)
     few = [r[0] for r in some] if len(some) <= FEW else None
-    hits = index.matched(broadcast_under(bag.select("term").distinct(), size or 0), few)
+    hits, lengths, n, avgdl = index.read(broadcast_under(bag.select("term").distinct(), size or 0), few)
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    n = float(index.n)
+    n = float(n)
     if variant == "plus":
         terms = bag.join(df, "term").withColumn("idf", F.log((n + 1) / F.col("df")))
     else:
@@ -123,7 +132,7 @@ def search_all(index: Index, queries: DataFrame, k: int, *, variant: str = "plus
         mean = index.terms.agg(F.avg(raw)).first()[0] or 0.0
         terms = bag.join(df, "term").withColumn("raw", raw).withColumn("idf", F.when(F.col("raw") < 0, EPSILON * mean).otherwise(F.col("raw")))
     terms = cut(terms.select("qid", "term", (F.col("qtf") * F.col("idf")).alias("weight")), "terms")
-    length = K1 * (1 - B + B * F.col("dl") / (index.avgdl or 1.0))
+    length = K1 * (1 - B + B * F.col("dl") / (avgdl or 1.0))
     gain = F.col("tf") * (K1 + 1) / (length + F.col("tf"))
     if variant == "plus" and match_only:
         gain = gain + DELTA
@@ -141,7 +150,7 @@ def search_all(index: Index, queries: DataFrame, k: int, *, variant: str = "plus
     top = cut(top, "top")
     base = terms.groupBy("qid").agg(F.sum(F.col("weight") * DELTA).alias("base"))
     short = base.join(top.groupBy("qid").agg(F.count("*").alias("m")), "qid", "left").select("qid", "base", F.coalesce("m", F.lit(0)).alias("m")).where(F.col("m") < k)
-    pad = index.lengths.select("id").orderBy("id").limit(2 * k)
+    pad = lengths.select("id").orderBy("id").limit(2 * k)
     fill = short.crossJoin(F.broadcast(pad)).join(top.select("qid", "id"), ["qid", "id"], "left_anti")
     at = F.row_number().over(Window.partitionBy("qid").orderBy("id"))
     fill = fill.withColumn("rank", (F.col("m") + at).cast("int")).where((F.col("rank") <= k) & (F.col("base") > 0)).select("qid", "id", F.col("base").alias("score"), "rank")
