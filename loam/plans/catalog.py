@@ -190,12 +190,12 @@ def _collection(spark, d) -> Collection:
     if key not in _collections:
         settings = config.Settings(chunk_size=1 << 30, near_dedup_enabled=False, search_mode="keyword", bm25_language="none", bm25_stemmed=False)
         made = Collection(spark, shared_path(spark, "collections"), "documents", settings)
-        made.add(table(spark, d, "documents").select(_PATH.alias("path"), F.col("text").alias("content")))
+        made.add(table(spark, d, "documents").select(F.expr(_PATH).alias("path"), F.col("text").alias("content")))
         _collections[key] = made
     return _collections[key]
 
 
-_PATH = F.concat(F.col("source"), F.lit("/"), F.lpad(F.col("doc_id").cast("string"), 9, "0"))
+_PATH = "source || '/' || lpad(cast(doc_id as string), 9, '0')"
 # what the collection holds: of equal texts the first by path
 _STORED = """stored as (select doc_id, source || '/' || lpad(doc_id::varchar, 9, '0') as path, text, sha256(text) as hash, source as folder from documents where trim(text) <> ''
 qualify row_number() over (partition by text order by source || '/' || lpad(doc_id::varchar, 9, '0'), doc_id) = 1)"""
