@@ -14,8 +14,11 @@ any.
   the tries of an LSH forest (Bawa, Condie and Ganesan 2005).  A set of at most ``neighbours``
   documents, which could find nearer ones in other sets, meets the ``reach`` next
   of each list and order, either way; a set of more finds all it can share in
-  itself.  Every document is in the index; see ``recall`` in the tests and the README
-  for what brute force finds besides.
+  itself.
+* That only gives bounds.  What a document shares with its last neighbour so far is what a nearer
+  one must share more than, so one of the values that both hold is among all but so many of its rarest,
+  and the whole lists of these are read (prefix filter).  The nearest are those of all pairs,
+  whatever ``short`` and ``reach`` are.
 * Pieces of the graph, in which every document is with its nearest neighbour, are
   walked apart: a path starts at the unvisited
   document of the least degree and goes to the nearest unvisited neighbour (of
@@ -127,6 +130,43 @@ def _beside(reach: int):
     return run
 
 
+def _needs(sets: DataFrame, long: DataFrame, near: DataFrame, neighbours: int) -> DataFrame:
+    """Sets with what another must share more than: of few rows what the last neighbour so far of one does, of more rows all."""
+    last = near.where(F.col("r") == neighbours).select(F.col("a").alias("row"), F.col("weight").alias("last"))
+    few = long.where(F.col("size") <= neighbours).join(last, "row", "left").groupBy("g").agg(F.min(F.coalesce("last", F.lit(0))).cast("int").alias("need"))
+    return cut(sets.select("g", "hot", "size").join(few, "g", "left").select("g", "hot", "size", F.coalesce("need", F.size("hot")).alias("need")), "sets")
+
+
+def _rest(sets: DataFrame, asked: int = 1000) -> DataFrame:
+    """(g, h, weight) of all sets that share more than g's need.
+
+    Values are in one order, so with the first that both hold all of them are in the two sets' ends from there on.
+    ``asked`` sets are held against a list at a time."""
+    s = F.size("hot")
+    listed = sets.select("g", "need", "hot", s.alias("s"), F.posexplode("hot").alias("i", "v"))
+    listed = listed.select("g", "need", "v", (F.col("s") - F.col("i")).alias("left"), F.expr("slice(hot, i + 1, s - i)").alias("end"))
+    asks = listed.where("left > need")
+    parts = asks.groupBy("v").agg(F.ceil(F.count("*") / asked).alias("parts"), F.min("need").alias("least"))
+    asks = asks.join(parts, "v").select("v", F.pmod(F.xxhash64("g"), F.col("parts")).alias("part"), "g", "need", "end")
+    to = listed.join(parts, "v").where(F.col("left") > F.col("least"))
+    to = to.select("v", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("g").alias("h"), "left", F.col("end").alias("other"))
+    both = asks.join(to, ["v", "part"]).where("left > need and g <> h")
+    both = both.select("g", "h", "need", F.size(F.array_intersect("end", "other")).cast("long").alias("weight")).where(F.col("weight") > F.col("need"))
+    return both.groupBy("g", "h").agg(F.max("weight").alias("weight"))
+
+
+def _across(met: DataFrame, sets: DataFrame, long: DataFrame, neighbours: int) -> DataFrame:
+    """(a, b, weight) both ways of the rows of sets (g, h, weight), as many as are wanted of those that share most with g."""
+    met = met.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy(F.desc("weight"), F.xxhash64("g", "h")))).where(F.col("r") <= neighbours)
+    met = met.join(sets.select(F.col("g").alias("h"), "size"), "h")
+    # not the same rows for all
+    part = F.pmod(F.xxhash64("g", F.lit(5)), F.ceil(F.col("size") / _PART))
+    turn = F.expr(f"transform(sequence(0, cast(least(size, {neighbours}) as int) - 1), j -> cast(pmod(xxhash64(g) + j, least(size, {_PART // 4})) as int))")
+    met = met.select("g", "h", "weight", part.alias("part"), F.explode(turn).alias("at"))
+    to = long.select(F.col("g").alias("h"), "part", "at", F.col("row").alias("b"))
+    return _both(met.join(to, ["h", "part", "at"]).join(long.select("g", F.col("row").alias("a")), "g"))
+
+
 def neighbour_graph(rows: DataFrame, *, neighbours: int = 6, short: int = 64, reach: int = 8, broadcast_limit: int = 64 << 20) -> DataFrame:
     """(a, b, weight) both ways, of rows (row, sketch) of up to 64 values: pairs of which one is among the other's nearest."""
     values = rows.select("row", F.explode("sketch").alias("v"))
@@ -153,9 +193,7 @@ def neighbour_graph(rows: DataFrame, *, neighbours: int = 6, short: int = 64, re
     near = cut(_nearest(_both(pairs.union(same)), neighbours), "near")
 
     # sets of few rows need others with which they share more than the last neighbour so far does
-    last = near.where(F.col("r") == neighbours).select(F.col("a").alias("row"), F.col("weight").alias("last"))
-    few = long.where(F.col("size") <= neighbours).join(last, "row", "left").groupBy("g").agg(F.min(F.coalesce("last", F.lit(0))).cast("int").alias("need"))
-    sets = cut(sets.join(few, "g", "left").select("g", "hot", "size", F.coalesce("need", F.size("hot")).alias("need")), "sets")
+    sets = _needs(sets, long, near, neighbours)
 
     # those beside them in the lists, in two orders of what they hold besides
     v = F.explode("hot").alias("v")
@@ -174,15 +212,11 @@ def neighbour_graph(rows: DataFrame, *, neighbours: int = 6, short: int = 64, re
     ends = ends.select("*", *(F.when(F.col("o") == 0, a).otherwise(b).alias(f"r{i}") for i, (a, b) in enumerate(zip(*keys))))
     ends = ends.repartition(1).sortWithinPartitions(*order).select(*columns).mapInArrow(_beside(reach), schema)
     met = beside.union(ends).where("h is not null").select("g", "h", "weight").distinct()
-    met = met.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy(F.desc("weight"), F.xxhash64("g", "h")))).where(F.col("r") <= neighbours)
-    met = met.join(sets.select(F.col("g").alias("h"), "size"), "h")
-    # as many rows of the other set as are wanted, not the same for all
-    part = F.pmod(F.xxhash64("g", F.lit(5)), F.ceil(F.col("size") / _PART))
-    turn = F.expr(f"transform(sequence(0, cast(least(size, {neighbours}) as int) - 1), j -> cast(pmod(xxhash64(g) + j, least(size, {_PART // 4})) as int))")
-    met = met.select("g", "h", "weight", part.alias("part"), F.explode(turn).alias("at"))
-    to = long.select(F.col("g").alias("h"), "part", "at", F.col("row").alias("b"))
-    across = met.join(to, ["h", "part", "at"]).join(long.select("g", F.col("row").alias("a")), "g")
-    best = _nearest(near.select("a", "b", "weight").union(_both(across)), neighbours)
+    near = cut(_nearest(near.select("a", "b", "weight").union(_across(met, sets, long, neighbours)), neighbours), "near")
+
+    # the whole lists, where a set could share more yet
+    sets = _needs(sets, long, near, neighbours)
+    best = _nearest(near.select("a", "b", "weight").union(_across(_rest(sets), sets, long, neighbours)), neighbours)
     kept = cut(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "weight").distinct(), "neighbours")
     return kept.union(kept.select("b", "a", "weight"))
 

@@ -236,6 +236,22 @@ def test_neighbours_recall_of_texts(spark):
     assert found / total > 0.95
 
 
+def test_neighbours_are_those_of_all_pairs(spark):
+    # long lists in which partners lie further apart than the index reaches
+    own = random.Random(11)
+    sk = [sorted({own.randint(0, 40) for _ in range(own.randint(0, 8))} | {own.randint(100, 300) for _ in range(own.randint(0, 2))}) for _ in range(500)]
+    sk += [[1, 2, 3]] * 9 + [[40, 41, 5000 + i] for i in range(90)]
+    rows = spark.createDataFrame(list(enumerate(sk)), "row long, sketch array<long>")
+    shared = [[len({*x} & {*y}) if i != j else 0 for j, y in enumerate(sk)] for i, x in enumerate(sk)]
+    got = {}
+    for r in packing.neighbour_graph(rows, short=8, reach=1).collect():
+        assert r.weight == shared[r.a][r.b]
+        got.setdefault(r.a, []).append(r.weight)
+    for i, x in enumerate(shared):
+        want = [n for n in sorted(x, reverse=True)[:6] if n]
+        assert sorted(got.get(i, []), reverse=True)[: len(want)] == want
+
+
 def test_walk():
     e = [(1, 2, 5), (2, 3, 1), (2, 4, 3)]
     a, b, w = (np.array(x) for x in zip(*[*e, *((b, a, w) for a, b, w in e)]))
