@@ -233,8 +233,8 @@ def lcs(words: list[int], size: int, mask: dict[int, int]) -> int:
     """Length of the longest common subsequence, by bits (Hyyro 2004)."""
     full = (1 << size) - 1
     s = full
-    for x in words:
-        u = s & mask.get(x, 0)
+    for y in filter(None, map(mask.get, words)):
+        u = s & y
         if u:
             s = ((s + u) | (s - u)) & full
     return size - s.bit_count()
@@ -259,20 +259,23 @@ def _matches(text: pa.Array, items: Items, embed: np.ndarray, rules: Rules) -> I
         order = np.lexsort((item, starts[block]))
         block, item = block[order], item[order]
         doc = np.searchsorted(w.offsets, starts[block], "right") - 1
+        every, sizes = w.hashes.tolist(), np.array([m[0] for m in items.masks])[item]
+        los = np.maximum(w.offsets[doc], starts[block] - sizes)
+        his = np.minimum(w.offsets[doc + 1], starts[block] + rules.window + sizes)
         best: dict[tuple[int, int], tuple] = {}
-        for d, b, i in zip(doc.tolist(), block.tolist(), item.tolist()):
+        for d, b, i, lo, hi in zip(*(x.tolist() for x in (doc, block, item, los, his))):
             m, whole, tail, answer = items.masks[i]
-            lo = max(int(w.offsets[d]), int(starts[b]) - m)
-            hi = min(int(w.offsets[d + 1]), int(starts[b]) + rules.window + m)
-            words = w.hashes[lo:hi].tolist()
-            if sum(map(whole.__contains__, words)) < rules.partial * m:
+            words = every[lo:hi]
+            # a common subsequence has each of the item's words once at most, and each of the text's
+            held = sum(map(int.bit_count, map(whole.__getitem__, whole.keys() & words)))
+            if held < rules.partial * m or held / m <= best.get((d, i), (0, 0))[1] or sum(map(whole.__contains__, words)) < rules.partial * m:
                 continue
             share = lcs(words, m, whole) / m
             if share < min(rules.partial, rules.coverage):
                 continue
             # an answer stands within its own length of the item
             far = max(0, tail - m)
-            end = lcs(w.hashes[max(int(w.offsets[d]), lo - far) : min(int(w.offsets[d + 1]), hi + far)].tolist() if far else words, tail, answer) / tail
+            end = lcs(every[max(int(w.offsets[d]), lo - far) : min(int(w.offsets[d + 1]), hi + far)] if far else words, tail, answer) / tail
             if (share >= rules.coverage or (share >= rules.partial and end >= rules.answer)) and share > best.get((d, i), (0, 0))[1]:
                 at = int(w.offsets[d])
                 best[d, i] = float(cos[b, i] / size[b]), share, end, lo - at, hi - at

@@ -3,6 +3,7 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -178,6 +179,17 @@ def test_decontamination_against_brute_force(spark):
     assert got <= want and len(got) >= 0.95 * len(want) > 20
 
 
+def test_decontamination_bound(monkeypatch):
+    # a text that repeats few of an item's words isn't aligned with it; one that holds them all is found
+    calls, whole = [], decontam.lcs
+    monkeypatch.setattr(decontam, "lcs", lambda *x: calls.append(x) or whole(*x))
+    embed = np.ones((decontam.D + 1, decontam.RANK), np.float32)
+    item = " ".join(f"word{i}" for i in range(20))
+    items = decontam.Items([(1, item, None)], embed)
+    assert not list(decontam._matches(pa.array(["word3 word7 " * 200]), items, embed, decontam.Rules())) and not calls
+    assert [x[:2] + x[3:5] for x in decontam._matches(pa.array(["word3 " * 30 + item]), items, embed, decontam.Rules())] == [(0, 0, 1.0, 1.0)] and calls
+
+
 def test_decontamination_edges(spark, edges):
     benchmark = spark.createDataFrame([(1, "two words")], "item_id long, text string")
     assert decontam.drop_leaks(edges, benchmark).columns == edges.columns
