@@ -488,3 +488,28 @@ def test_pipeline_stages(spark, tmp_path):
     spark.createDataFrame([(0, " ".join(texts[9].split()[5:40]))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     got = {d for r in corpus_pipeline.run(spark, str(tmp_path)).collect() for d in r.doc_ids}
     assert got == set(range(80)) - {9}
+
+
+def test_pipeline_packs_by_the_neighbours_of_all_pairs(spark, monkeypatch):
+    import corpus_pipeline
+
+    # phrases of three words that more texts hold than give all their pairs, in other sets each
+    own, graph, seen = random.Random(3), packing.neighbour_graph, []
+    sets = [frozenset(own.sample(range(40), 6)) for _ in range(700)]
+    texts = [" ".join(f"a{p} b{p} c{p} own{i}x{p}" for p in own.sample(sorted(x), 6)) for i, x in enumerate(sets)]
+
+    def kept(rows, **params):
+        seen.append((rows, graph(rows, **params)))
+        return seen[-1][1]
+
+    monkeypatch.setattr(packing, "neighbour_graph", kept)
+    windows = corpus_pipeline.packing(spark, frame(spark, texts), "").collect()
+    assert {d for r in windows for d in r.doc_ids} == set(range(len(texts)))
+    ((rows, edges),) = seen
+    doc, got = {r.row: r.doc_id for r in rows.select("row", "doc_id").collect()}, {}
+    for r in edges.collect():
+        assert r.weight == len(sets[doc[r.a]] & sets[doc[r.b]])
+        got.setdefault(doc[r.a], []).append(r.weight)
+    for i, x in enumerate(sets):
+        want = sorted((len(x & y) for j, y in enumerate(sets) if j != i), reverse=True)[:6]
+        assert sorted(got[i], reverse=True)[:6] == want
