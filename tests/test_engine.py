@@ -1,3 +1,4 @@
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +11,7 @@ from loam.operators import dedup as D
 from loam.operators import keyword as KW
 from loam.operators import search as S
 from loam.operators.chunking import Splitter, separators_for
+from loam.plans.catalog import QUERIES, SQL
 from loam.sources import html as H
 from loam.sources import loaders as L
 
@@ -148,3 +150,10 @@ def test_collection(spark, tmp_path):
     assert c.documents() == ["a/y.txt"]
     c.delete()
     assert not c.exists()
+
+
+def test_pages_of_one_address_count_once(spark, tmp_path):
+    pages = [("http://h.org/a?x=1", "<a href='b'>1</a>"), ("http://h.org/a?x=2", "2"), ("http://h.org/b", "3"), ("http://h.org/b", "3")]
+    spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(pages)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted(tuple(r) for r in QUERIES["crawl_frontier"](spark, str(tmp_path)).where("url like 'http://h.org%'").collect())
+    assert got == [("http://h.org/a", 0), ("http://h.org/b", 0)]
