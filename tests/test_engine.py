@@ -157,3 +157,8 @@ def test_pages_of_one_address_count_once(spark, tmp_path):
     spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(pages)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     got = sorted(tuple(r) for r in QUERIES["crawl_frontier"](spark, str(tmp_path)).where("url like 'http://h.org%'").collect())
     assert got == [("http://h.org/a", 0), ("http://h.org/b", 0)]
+
+
+def test_references_without_a_semicolon_stay():
+    assert H.read("<title>a&amp;&amp</title><p>&lt;b&gt; &amp;lt; R&D &ampx; &eacute;&#39;</p>").parts == ["a&&amp", "<b> &lt; R&D &ampx; é'"]
+    assert H.read("<a href='/x?a=1&copy=2&amp;b=3'>l</a>").hrefs == ["/x?a=1&copy=2&b=3"]
