@@ -116,18 +116,6 @@ def tokens(text: Column, language: str | None = None, *, stemmed: bool = True) -
     return F.when(script(text) == "cjk", _cjk(text)).otherwise(latin)
 
 
-def shingles(text: Column, n: int = 3) -> Column:
-    """Distinct runs of n lower-case words between blanks; of shorter texts the words."""
-
-    def of(w: Column) -> Column:
-        runs = F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.array_join(F.slice(w, i + 1, n), " "))
-        return F.array_distinct(F.when(F.size(w) < n, w).otherwise(runs))
-
-    # the words are bound once, or each run would split the text again
-    w = F.filter(F.split(F.lower(text), r"\s+"), lambda x: x != "")
-    return F.transform(F.array(w), of)[0]
-
-
 def _whole(words: str, *phrases: str) -> str:
     return r"\b(?:" + "|".join([*sorted(words.split()), *phrases]) + r")\b"
 

@@ -162,3 +162,13 @@ def test_pages_of_one_address_count_once(spark, tmp_path):
 def test_references_without_a_semicolon_stay():
     assert H.read("<title>a&amp;&amp</title><p>&lt;b&gt; &amp;lt; R&D &ampx; &eacute;&#39;</p>").parts == ["a&&amp", "<b> &lt; R&D &ampx; é'"]
     assert H.read("<a href='/x?a=1&copy=2&amp;b=3'>l</a>").hrefs == ["/x?a=1&copy=2&b=3"]
+
+
+def test_minhash_of_odd_texts_as_in_sql(spark, tmp_path):
+    texts = ["", " \n", None, "One", "İstanbul ΟΔΟΣ a b", "a\vb c d e", "a\u00a0b c d", "the quick brown fox " * 900]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    for name in ("minhash_signature", "near_dedup_verdict"):
+        got = sorted(tuple(r) for r in QUERIES[name](spark, str(tmp_path)).collect())
+        assert got == sorted(con.execute(SQL[name]).fetchall()), name
