@@ -10,7 +10,7 @@ from loam.functions.vectors import checked
 from loam.operators import dedup as D
 from loam.operators import keyword as KW
 from loam.operators import search as S
-from loam.operators.chunking import Splitter, separators_for
+from loam.operators.chunking import Splitter, chunks, separators_for
 from loam.plans.catalog import QUERIES, SQL
 from loam.sources import html as H
 from loam.sources import loaders as L
@@ -172,3 +172,26 @@ def test_minhash_of_odd_texts_as_in_sql(spark, tmp_path):
     for name in ("minhash_signature", "near_dedup_verdict"):
         got = sorted(tuple(r) for r in QUERIES[name](spark, str(tmp_path)).collect())
         assert got == sorted(con.execute(SQL[name]).fetchall()), name
+
+
+def shuffled(spark, run):
+    """Bytes that run() shuffles."""
+    sc = spark.sparkContext
+    jvm, bus = sc._jvm, sc._jsc.sc().listenerBus()
+
+    def total():
+        bus.waitUntilEmpty(30_000)
+        stages = sc._jsc.sc().statusStore().stageList(jvm.java.util.ArrayList(), False, False, sc._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    before = total()
+    run()
+    return total() - before
+
+
+def test_neighbours_of_every_vector_with_ties(spark):
+    base = [[0.1, 0.7, 0.3], [0.3, 0.2, 0.9], [0.0, 0.0, 0.0]]
+    rows = spark.createDataFrame([(i, [x * (7 - i % 7) / 3 for x in base[i % 3]]) for i in range(60)], "vec_id int, embedding array<double>").repartition(3)
+    queries = rows.where("vec_id % 20 = 1").select(F.col("vec_id").alias("qid"), "embedding")
+    got = S.knn_all(rows, "vec_id", "embedding", queries, 5, per_pass=2).orderBy("qid", "rank").collect()
+    assert [(r.qid, r.id) for r in got] == [(q, i) for q in (1, 21, 41) for i in ([j for j in range(60) if j % 3 == q % 3][:5] if q != 41 else range(5))]
