@@ -203,3 +203,9 @@ def test_neighbours_of_every_vector_with_ties(spark):
     queries = rows.where("vec_id % 20 = 1").select(F.col("vec_id").alias("qid"), "embedding")
     got = S.knn_all(rows, "vec_id", "embedding", queries, 5, per_pass=2).orderBy("qid", "rank").collect()
     assert [(r.qid, r.id) for r in got] == [(q, i) for q in (1, 21, 41) for i in ([j for j in range(60) if j % 3 == q % 3][:5] if q != 41 else range(5))]
+
+
+def test_chunks_of_many_rows(spark):
+    texts = [None if i % 50 == 0 else f"line {i}\n\nmore of it {i}" for i in range(700)]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1).select("i", chunks(F.col("t"), size=12, overlap=0).alias("c")).collect()
+    assert all(r.c == (None if texts[r.i] is None else Splitter(12, 0).split(texts[r.i])) for r in got) and len(got) == 700
