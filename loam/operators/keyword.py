@@ -3,22 +3,57 @@
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
+from loam.operators.search import Best
 from loam.shared import broadcast_under, cut
 
 K1, B, DELTA, EPSILON = 1.5, 0.75, 1.0, 0.25
 #: As many terms at most are looked for row by row; more are joined
 FEW = 64
 BUCKETS = 64
+#: Bytes of what the queries' terms weigh that every task may hold
+MATRIX = 32 << 20
+
+
+def _batch(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+    """(term, row, terms, tf, lengths) of a batch (id, tokens): of each term of a row its number in terms, in order of terms and rows."""
+    tokens = b.column(1)
+    dl = pc.list_value_length(tokens).to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = tokens.flatten().dictionary_encode()
+    pairs, tf = np.unique(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) * max(1, len(dl)) + np.repeat(np.arange(len(dl)), dl), return_counts=True)
+    return pairs // max(1, len(dl)), pairs % max(1, len(dl)), coded.dictionary, tf, dl
+
+
+def _blocks(batches):
+    for b in batches:
+        term, row, terms, tf, dl = _batch(b)
+        at = pa.array(np.append(np.searchsorted(term, np.arange(len(terms))), len(term)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(at, x) for x in (b.column(0).take(pa.array(row)), pa.array(tf.astype(np.int64)), pa.array(dl[row].astype(np.int32)))]
+        yield pa.RecordBatch.from_arrays([terms, *lists], ["term", "id", "tf", "dl"])
+
+
+def _count(batches):
+    for b in batches:
+        term, _, terms, _, dl = _batch(b)
+        df = np.append(np.bincount(term, minlength=len(terms)), 0)
+        own = np.zeros(len(df), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.concat_arrays([terms.cast(pa.string()), pa.nulls(1, pa.string())]), pa.array(df), pa.array(np.append(own[:-1], len(dl))), pa.array(np.append(own[:-1], dl.sum()))], ["term", "df", "n", "dl"])
 
 
 @dataclass
 class Index:
-    """Documents as (id, tokens), or their stored postings (bucket, term, id, tf, dl) with (id, dl)."""
+    """Documents as (id, tokens), or their stored postings (bucket, term, id, tf, dl) with (id, dl).
+
+    Words are counted within each batch of documents, so that no token by itself is shuffled."""
 
     docs: DataFrame | None = None
     stored: DataFrame | None = None
@@ -34,14 +69,33 @@ class Index:
         """(term, id, tf, dl)."""
         if self.docs is None:
             return self.stored.select("term", "id", "tf", "dl")
-        return self.docs.select("id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("term", "id", "dl").agg(F.count("*").alias("tf")).select("term", "id", "tf", "dl")
+        return self.blocks.select("term", F.inline(F.arrays_zip("id", "tf", "dl")))
+
+    @functools.cached_property
+    def blocks(self) -> DataFrame:
+        """(term, id, tf, dl): the last three are arrays, a row for each term of some documents."""
+        return self.docs.mapInArrow(_blocks, f"term string, id array<{self.docs.schema['id'].dataType.simpleString()}>, tf array<long>, dl array<int>")
 
     @functools.cached_property
     def terms(self) -> DataFrame:
         """(term, df)."""
         if self.docs is None:
             return self.stored.groupBy("term").agg(F.count("*").alias("df"))
-        return self.docs.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+        return self._counted.where("term is not null").groupBy("term").agg(F.sum("df").alias("df"))
+
+    @functools.cached_property
+    def _counted(self) -> DataFrame:
+        """(term, df) of some documents each, and (null, 0, n, dl) of them all."""
+        return self.docs.mapInArrow(_count, "term string, df long, n long, dl long")
+
+    def summary(self) -> DataFrame:
+        """(n, avgdl, n_terms, n_postings), of one reading of the documents or postings."""
+        if self.docs is None:
+            return self.terms.agg(F.count("*").alias("n_terms"), F.coalesce(F.sum("df"), F.lit(0)).alias("n_postings")).select(F.lit(self.n).cast("long").alias("n"), F.lit(self.avgdl).alias("avgdl"), "n_terms", "n_postings")
+        sums = {c: F.coalesce(F.sum(c), F.lit(0)) for c in ("df", "n", "dl")}
+        each = self._counted.groupBy("term").agg(*(x.alias(c) for c, x in sums.items()))
+        avgdl = F.when(sums["n"] > 0, sums["dl"].cast("double") / sums["n"]).otherwise(0.0)
+        return each.agg(sums["n"].alias("n"), avgdl.alias("avgdl"), F.count("term").alias("n_terms"), sums["df"].alias("n_postings"))
 
     @functools.cached_property
     def _stats(self) -> tuple[int, float]:
@@ -99,16 +153,67 @@ def build(docs: DataFrame, id: str, tokens: Column) -> Index:
 
 def store(index: Index, path: str) -> None:
     """Writes postings by the hash of their term, so that a query reads its terms' folders only, and lengths."""
-    rows = index.postings.withColumn("bucket", bucket(F.col("term")))
-    rows.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
+    rows = index.blocks.withColumn("bucket", bucket(F.col("term")))
+    rows.repartition("bucket", F.pmod(F.xxhash64(F.col("id")[0]), F.lit(8))).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
     index.lengths.write.parquet(f"{path}/lengths")
 
 
 def stored(spark, path: str) -> Index:
-    rows = spark.read.schema("term string, id long, tf long, dl int, bucket int").parquet(f"{path}/postings")
+    rows = spark.read.schema("term string, id array<long>, tf array<long>, dl array<int>, bucket int").parquet(f"{path}/postings")
+    rows = rows.select("bucket", "term", F.inline(F.arrays_zip("id", "tf", "dl")))
     return Index(None, rows, spark.read.schema("id long, dl int").parquet(f"{path}/lengths"))
 
 
+def _found(vocabulary: list[str]) -> Callable:
+    """Of each document the places of its words in the vocabulary, how often it has them, and its length."""
+    words = pa.array(vocabulary, pa.string())
+
+    def run(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, 2048):
+                part = b.slice(i, 2048)
+                tokens = part.column(1)
+                dl = pc.list_value_length(tokens).to_numpy(zero_copy_only=False).astype(np.int64)
+                coded = tokens.flatten().dictionary_encode()
+                place = pc.fill_null(pc.index_in(coded.dictionary.cast(pa.string()), words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+                code, row = place[coded.indices.to_numpy(zero_copy_only=False)], np.repeat(np.arange(len(dl)), dl)
+                pairs, tf = np.unique((row * max(1, len(words)) + code)[code >= 0], return_counts=True)
+                at = pa.array(np.append(0, np.cumsum(np.bincount(pairs // max(1, len(words)), minlength=len(dl)))).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(at, pa.array(x.astype(np.int32))) for x in (pairs % max(1, len(words)), tf)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(dl.astype(np.int32)), *lists], ["id", "dl", "term", "tf"])
+
+    return run
+
+
+def _best(weights: np.ndarray, qids: pa.Array, k: int, length: Callable, delta: float) -> Callable:
+    """Of each query the k best documents of a task; weights: (queries, terms).  Blocks of documents and queries bound the memory."""
+
+    def run(batches):
+        blocks = [np.ascontiguousarray(weights[i : i + 256].T) for i in range(0, len(weights), 256)]
+        best, kind = [Best(x.shape[1], k, 9) for x in blocks], None
+        for b in batches:
+            kind = b.column(0).type
+            ids, dl = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            n = pc.list_value_length(b.column(2)).to_numpy(zero_copy_only=False).astype(np.int64)
+            end = np.cumsum(n)
+            term, tf = (b.column(i).flatten().to_numpy(zero_copy_only=False) for i in (2, 3))
+            gain = tf * (K1 + 1) / (length(np.repeat(dl, n)) + tf) + delta
+            lo = 0
+            while lo < len(ids):
+                begin = end[lo] - n[lo]
+                hi = max(lo + 1, int(np.searchsorted(end, begin + 8192, "right")))
+                some = np.flatnonzero(n[lo:hi]) + lo
+                if len(some):
+                    of = slice(begin, end[hi - 1])
+                    for w, x in zip(blocks, best):
+                        x.add(ids[some], np.add.reduceat(gain[of, None] * w[term[of]], end[some] - n[some] - begin), 0.0)
+                lo = hi
+        for i, x in enumerate(best if kind else []):
+            yield x.batch(qids[256 * i : 256 * (i + 1)], kind, ["qid", "id", "score"])
+
+    return run
+
+
 def search_all(index: Index, queries: DataFrame, k: int, *, variant: str = "plus", match_only: bool = False) -> DataFrame:
     """(qid, id, score, rank) for queries (qid, terms): k per query, ties by id.
 
@@ -122,8 +227,21 @@ def search_all(index: Index, queries: DataFrame, k: int, *, variant: str = "plus
     rows, size = bag.agg(F.count("*"), F.sum(48 + F.length("term") * 2)).first()
     some = bag.select("term").distinct().limit(FEW + 1).collect() if rows <= 4 * FEW else [None] * (FEW + 1)
     few = [r[0] for r in some] if len(some) <= FEW else None
-    hits, lengths, n, avgdl = index.read(broadcast_under(bag.select("term").distinct(), size or 0), few)
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
+    # many queries' terms, and what they weigh, as a matrix that every task holds, if it is small; documents are read once and not shuffled
+    counted, vocabulary, qids = None, None, None
+    if few is None and index.docs is not None and index.docs.schema["id"].dataType.typeName() in ("integer", "long") and (size or 0) <= MATRIX:
+        vocabulary, qids = ([r[0] for r in bag.select(c).distinct().orderBy(c).collect()] for c in ("term", "qid"))
+        if len(vocabulary) * len(qids) * 8 > MATRIX:
+            vocabulary = None
+    if vocabulary is not None:
+        counted = cut(index.docs.mapInArrow(_found(vocabulary), f"id {index.docs.schema['id'].dataType.simpleString()}, dl int, term array<int>, tf array<int>"), "counted")
+        n, avgdl = counted.agg(F.count("*"), F.avg("dl")).first()
+        avgdl, lengths = avgdl or 0.0, counted.select("id", "dl")
+        place = bag.sparkSession.createDataFrame(list(enumerate(vocabulary)), "place int, term string")
+        df = counted.select(F.explode("term").alias("place")).groupBy("place").agg(F.count("*").alias("df")).join(F.broadcast(place), "place").select("term", "df")
+    else:
+        hits, lengths, n, avgdl = index.read(broadcast_under(bag.select("term").distinct(), size or 0), few)
+        df = hits.groupBy("term").agg(F.count("*").alias("df"))
     n = float(n)
     if variant == "plus":
         terms = bag.join(df, "term").withColumn("idf", F.log((n + 1) / F.col("df")))
@@ -132,16 +250,27 @@ def search_all(index: Index, queries: DataFrame, k: int, *, variant: str = "plus
         mean = index.terms.agg(F.avg(raw)).first()[0] or 0.0
         terms = bag.join(df, "term").withColumn("raw", raw).withColumn("idf", F.when(F.col("raw") < 0, EPSILON * mean).otherwise(F.col("raw")))
     terms = cut(terms.select("qid", "term", (F.col("qtf") * F.col("idf")).alias("weight")), "terms")
-    length = K1 * (1 - B + B * F.col("dl") / (avgdl or 1.0))
-    gain = F.col("tf") * (K1 + 1) / (length + F.col("tf"))
-    if variant == "plus" and match_only:
-        gain = gain + DELTA
-    # documents stay where they are while their terms are weighed and added up
-    weighed = hits.join(broadcast_under(terms, (size or 0) + 16 * (rows or 0)), "term").select("qid", "id", (F.col("weight") * gain).alias("s"))
-    scored = weighed.groupBy("qid", "id").agg(F.sum("s").alias("score"))
+    full = variant == "plus" and not match_only
+    delta = DELTA if variant == "plus" and match_only else 0.0
+
+    def length(dl):
+        return K1 * (1 - B + B * dl / (avgdl or 1.0))
+
+    if counted is not None:
+        at, to = {t: i for i, t in enumerate(vocabulary)}, {q: i for i, q in enumerate(qids)}
+        matrix = np.zeros((len(qids), len(vocabulary)))
+        for q, t, weight in terms.toLocalIterator():
+            matrix[to[q], at[t]] = weight
+        kinds = f"qid {bag.schema['qid'].dataType.simpleString()}, id {counted.schema['id'].dataType.simpleString()}, score double"
+        # scores of matched documents are above 0 in any variant that counts them
+        scored = counted.mapInArrow(_best(matrix, pa.array(qids, to_arrow_type(bag.schema["qid"].dataType)), k, length, delta), kinds)
+    else:
+        gain = F.col("tf") * (K1 + 1) / (length(F.col("dl")) + F.col("tf")) + delta
+        # documents stay where they are while their terms are weighed and added up
+        weighed = hits.join(broadcast_under(terms, (size or 0) + 16 * (rows or 0)), "term").select("qid", "id", (F.col("weight") * gain).alias("s"))
+        scored = weighed.groupBy("qid", "id").agg(F.sum("s").alias("score"))
     # sums in another order may differ in the last digits, which must not part equal scores
     w = Window.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), "id")
-    full = variant == "plus" and not match_only
     top = scored if full else scored.where("score > 0")
     top = top.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     if not full:

@@ -197,6 +197,16 @@ def test_an_addition_shuffles_texts_twice_at_most(spark, tmp_path):
     assert shuffled(spark, lambda: c.add(docs)) < 2.6 * 400 * 40 * 65 and c.rows().count() == 400
 
 
+def test_postings_are_shuffled_by_term_once(spark, tmp_path):
+    docs = spark.range(0, 20_000, 1, 2).select("id", F.concat_ws(" ", *(F.concat(F.lit("w"), (F.col("id") * (i + 1) % 50).cast("string")) for i in range(20))).alias("text"))
+    docs.write.parquet(f"{tmp_path}/docs")
+    index = KW.build(spark.read.parquet(f"{tmp_path}/docs"), "id", T.words(F.col("text")))
+    assert shuffled(spark, lambda: KW.store(index, f"{tmp_path}/index")) < 1_500_000
+    got = KW.stored(spark, f"{tmp_path}/index")
+    assert got.postings.exceptAll(index.postings).isEmpty() and index.postings.exceptAll(got.postings).isEmpty()
+    assert got.postings.agg(F.sum("tf")).first()[0] == 400_000 and {r.dl for r in got.postings.select("dl").distinct().collect()} == {20}
+
+
 def test_neighbours_of_every_vector_with_ties(spark):
     base = [[0.1, 0.7, 0.3], [0.3, 0.2, 0.9], [0.0, 0.0, 0.0]]
     rows = spark.createDataFrame([(i, [x * (7 - i % 7) / 3 for x in base[i % 3]]) for i in range(60)], "vec_id int, embedding array<double>").repartition(3)
@@ -205,7 +215,26 @@ def test_neighbours_of_every_vector_with_ties(spark):
     assert [(r.qid, r.id) for r in got] == [(q, i) for q in (1, 21, 41) for i in ([j for j in range(60) if j % 3 == q % 3][:5] if q != 41 else range(5))]
 
 
+def test_many_queries_by_matrix_and_by_joins(spark, monkeypatch):
+    docs = spark.range(0, 300, 1, 3).select("id", F.concat_ws(" ", *(F.concat(F.lit("w"), (F.col("id") * (i + 3) % 97).cast("string")) for i in range(12))).alias("text")).union(spark.createDataFrame([(300, "")], "id long, text string"))
+    queries = spark.createDataFrame([(q, [f"w{(q * 7 + i) % 110}" for i in range(9)] + ["w1"]) for q in range(40)] + [(99, ["none"])], "qid int, terms array<string>")
+    for options in ({}, {"match_only": True}, {"variant": "okapi"}):
+        both = []
+        for limit in (1 << 20, 0):
+            monkeypatch.setattr(KW, "MATRIX", limit)
+            r = KW.search_all(KW.build(docs, "id", T.words(F.col("text"))), queries, 7, **options)
+            both.append(sorted((x.qid, x.rank, x.id, round(x.score, 9)) for x in r.collect()))
+        assert both[0] == both[1] and both[0]
+
+
 def test_chunks_of_many_rows(spark):
     texts = [None if i % 50 == 0 else f"line {i}\n\nmore of it {i}" for i in range(700)]
     got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1).select("i", chunks(F.col("t"), size=12, overlap=0).alias("c")).collect()
     assert all(r.c == (None if texts[r.i] is None else Splitter(12, 0).split(texts[r.i])) for r in got) and len(got) == 700
+
+
+def test_corpus_stats_reads_documents_once(spark, tmp_path):
+    spark.createDataFrame([(0, "a bb bb cc"), (1, ""), (2, "bb dd"), (3, None)], "doc_id int, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["corpus_stats"](spark, str(tmp_path))
+    assert tuple(got.first()) == (4, 1.25, 3, 4) and got._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") == 1
+    assert tuple(KW.build(spark.createDataFrame([], "id int, text string"), "id", T.words(F.col("text"))).summary().first()) == (0, 0.0, 0, 0)
